@@ -15,6 +15,12 @@ def op1_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_jaccard_join(spark, sf_dir):
+    from docloom.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark, sf_dir):
     from docloom.llm.substring_dedup import dedup_substrings
 
@@ -39,5 +45,5 @@ SELECT page_id, host, path,
 FROM p
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter}
 SQL = {"op7_url_filter": OP7_SQL}
