@@ -15,6 +15,12 @@ def op1_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_context_tree(spark, sf_dir):
+    from docloom.llm.context_tree import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark, sf_dir):
     from docloom.llm.jaccard_join import near_duplicates
 
@@ -45,5 +51,5 @@ SELECT page_id, host, path,
 FROM p
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter}
+QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter}
 SQL = {"op7_url_filter": OP7_SQL}

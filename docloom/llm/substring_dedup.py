@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.blocks import FLUSH, block_batch, block_schema, bucket_of, joined, n_blocks, per_bucket, runs, split, text_rows
-from docloom.llm.tokens import Words, slices
+from docloom.llm.tokens import Words, mix, slices
 
 K = 50
 #: Stands for a null id: after all ids.
@@ -52,8 +52,8 @@ def window_blocks(docs: DataFrame, k: int, n: int) -> DataFrame:
     return docs.mapInArrow(pack, block_schema(3))
 
 
-def owned_elsewhere(blocks: DataFrame) -> DataFrame:
-    """doc_id and the hashes of its windows that a document with a smaller id has too."""
+def owned_elsewhere(blocks: DataFrame, n: int) -> DataFrame:
+    """doc_id and the hashes of its windows that a document with a smaller id has too; one row a document."""
 
     def judge(table: pa.Table) -> pa.Table:
         h = joined(table, 0, np.uint64)
@@ -67,10 +67,21 @@ def owned_elsewhere(blocks: DataFrame) -> DataFrame:
         h, doc = h[first], doc[first]
         order = np.argsort(doc, kind="stable")
         h, doc = h[order], doc[order]
+        rows = []
+        for b, (a, d) in split(bucket_of(mix(doc.view(np.uint64)), n), [h, doc]):
+            start, count = runs(d)
+            rows.append((b, [a, d[start], count.astype(np.uint32)]))
+        return pa.Table.from_batches([block_batch(rows, 3)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        h = joined(table, 0, np.uint64)
+        doc = np.repeat(joined(table, 1, np.int64), joined(table, 2, np.uint32))
+        order = np.argsort(doc, kind="stable")
+        h, doc = h[order], doc[order]
         start, count = runs(doc)
         return pa.table({"doc_id": pa.array(doc[start], pa.int64()), "owned": pa.array([h[s : s + c].tobytes() for s, c in zip(start, count, strict=True)], pa.binary())})
 
-    return per_bucket(blocks, judge, "doc_id long, owned binary")
+    return per_bucket(per_bucket(blocks, judge, block_schema(3)), gather, "doc_id long, owned binary")
 
 
 def cover(starts: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -96,8 +107,8 @@ def dedup_substrings(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_c
     handled whole.  An empty table gives an empty result.
     """
     rows = text_rows(docs, id_col, text_col)
-    owned = owned_elsewhere(window_blocks(rows, k, n_blocks(docs, text_col)))
-    owned = owned.groupBy("doc_id").agg(F.collect_list("owned").alias("owned"))
+    n = n_blocks(docs, text_col)
+    owned = owned_elsewhere(window_blocks(rows, k, n), n)
     keyed = rows.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID)))
     both = keyed.join(owned.withColumnRenamed("doc_id", "_key"), "_key", "left").select("doc_id", "text", "owned")
 
@@ -115,7 +126,7 @@ def dedup_substrings(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_c
                     own = raw.split()
                     spans = []
                     if has[lo + r]:
-                        taken = np.frombuffer(b"".join(owned[lo + r].as_py()), np.uint64)
+                        taken = np.frombuffer(owned[lo + r].as_py(), np.uint64)
                         a, z = np.searchsorted(at, words.first[r : r + 2])
                         hit = at[a:z][np.isin(h[a:z], taken)] - words.first[r]
                         covered = cover(hit, k, len(own))
