@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.blocks import FLUSH, block_batch, block_schema, bucket_of, cut, joined, n_blocks, per_bucket, runs, split, text_rows
@@ -23,8 +23,6 @@ from docloom.llm.tokens import U, Words, mix, slices
 
 PERCENT = 85
 SHINGLE = 4
-#: Rounds of pivots before the rest of the lists is compared pair by pair.
-PIVOT_ROUNDS = 4
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -159,8 +157,13 @@ def records(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _close(a: str, b: str, percent: int):
-    """Sizes that allow the similarity."""
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
+    """Sizes that allow the similarity, and places of the common shingle that leave enough to come.
+
+    Similar sets meet this at their first common shingle, so it is asked at each.
+    """
+    na, nb, ia, ib = (F.col(f"{side}.{c}") for c in ("n", "place") for side in (a, b))
+    rest = F.least(na - ia, nb - ib)
+    return (F.lit(100) * F.least(na, nb) >= F.lit(percent) * F.greatest(na, nb)) & (F.lit(100 + percent) * rest >= F.lit(percent) * (na + nb))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -180,44 +183,29 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(compare, "u long, v long")
 
 
-def star(lists: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (pivot, key) of each shingle's pivot and the others of its list."""
-    return lists.join(pivots, "shingle").where((F.col("key") != F.col("p.key")) & _close("n", "p.n", percent)).select(F.col("p.key").alias("pivot"), "key").distinct()
-
-
 def set_components(sets: DataFrame, percent: int) -> DataFrame:
     """node, root: components of the sets under the similarity; sets without a link have no row."""
     groups = sets.groupBy("n", "prefix_hash").agg(F.min("key").alias("group"))
     members = cut(sets.join(groups, ["n", "prefix_hash"]).select("key", "group", "n", "singles", "prefix"))
-    lists = cut(members.select(F.explode("prefix").alias("shingle"), "key", "group", "n", "singles"))
-    entries = lists.count()
+    lists = members.select(F.posexplode("prefix").alias("i", "shingle"), "key", "group", "n", "singles")
+    lists = cut(lists.select("shingle", "key", "group", "n", "singles", (F.col("i") + F.col("singles")).alias("place")))
     # Groups first: each list's pivot group with its other groups, then their members; and within a group, its first with the others.
-    rank = F.struct("singles", "key", "n")
-    pairs = star(lists.where("key = group"), lists.where("key = group").groupBy("shingle").agg(F.min(rank).alias("p")), percent)
-    pairs = pairs.withColumnRenamed("key", "group").join(members.select("group", "key"), "group").select(F.col("pivot").alias("u"), F.col("key").alias("v"))
+    heads = lists.where("key = group")
+    pivots = heads.groupBy("shingle").agg(F.min(F.struct("singles", "key", "n", "place")).alias("p"))
+    pairs = heads.alias("l").join(pivots, "shingle").where((F.col("key") != F.col("p.key")) & _close("l", "p", percent)).select(F.col("p.key").alias("u"), "group").distinct()
+    pairs = pairs.join(members.select("group", F.col("key").alias("v")), "group").select("u", "v")
     inside = members.where("key != group").select(F.col("group").alias("u"), F.col("key").alias("v"))
     links = cut(verify(pairs.union(inside), sets, percent))
-    for turn in range(PIVOT_ROUNDS + 1):
-        found = cut(components(links))
-        # Lists of one component are done.  Of the others, every open pair has a member outside the list's largest component.
-        tagged = lists.drop("group").join(found.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        sizes = tagged.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
-        main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("largest")).where("size > largest")
-        tagged = cut(tagged.join(main, "shingle"))
-        left = tagged.where("root != main").agg(F.count(F.lit(1)), F.sum("size")).first()
-        if not left[0]:
-            return found
-        if turn < PIVOT_ROUNDS and left[1] > 8 * entries:
-            pivots = tagged.withColumn("rank", F.row_number().over(Window.partitionBy("shingle").orderBy("singles", "key"))).where(F.col("rank") == turn + 2)
-            pivots = pivots.select("shingle", F.struct("singles", "key", "n", "root").alias("p"))
-            pairs = tagged.join(pivots, "shingle").where((F.col("root") != F.col("p.root")) & _close("n", "p.n", percent)).select(F.col("p.key").alias("u"), F.col("key").alias("v")).distinct()
-            links = cut(links.union(verify(pairs, sets, percent)))
-            continue
-        a, b = tagged.where("root != main").alias("a"), tagged.alias("b")
-        pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & _close("a.n", "b.n", percent))
-        pairs = pairs.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
-        return components(links.union(verify(pairs, sets, percent)))
-    return found
+    found = cut(components(links))
+    # Lists of one component are done.  Of the others, every open pair has a member outside the list's largest component.
+    tagged = lists.drop("group").join(found.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = tagged.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("largest")).where("size > largest")
+    tagged = cut(tagged.join(main.select("shingle", "main"), "shingle"))
+    a, b = tagged.where("root != main").alias("a"), tagged.alias("b")
+    pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b", percent))
+    pairs = pairs.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+    return components(links.union(verify(pairs, sets, percent)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
