@@ -45,6 +45,12 @@ def op8_string_tiling(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "item_words", "covered_words", "coverage")
 
 
+def op9_toxic_crf(spark, sf_dir):
+    from docloom.llm.toxic_crf import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("spans", F.size("spans")).withColumnRenamed("spans", "n_spans")
+
+
 OP7_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS t FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -57,5 +63,5 @@ SELECT page_id, host, path,
 FROM p
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling}
+QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf}
 SQL = {"op7_url_filter": OP7_SQL}
