@@ -51,6 +51,12 @@ def op9_toxic_crf(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumn("spans", F.size("spans")).withColumnRenamed("spans", "n_spans")
 
 
+def op10_sanitise(spark, sf_dir):
+    from docloom.llm.sanitise import find_personal_data, span_digest
+
+    return span_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
 OP7_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS t FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(t, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -63,5 +69,5 @@ SELECT page_id, host, path,
 FROM p
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf}
+QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf, "op10_sanitise": op10_sanitise}
 SQL = {"op7_url_filter": OP7_SQL}
