@@ -33,6 +33,12 @@ def op5_substring_dedup(spark, sf_dir):
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_progressive_jpeg(spark, sf_dir):
+    from docloom.llm.progressive_jpeg import media_digest, store_texts
+
+    return media_digest(store_texts(table(spark, sf_dir, "documents")))
+
+
 def op7_url_filter(spark, sf_dir):
     from docloom.llm.url_globs import filter_urls
 
@@ -69,5 +75,5 @@ SELECT page_id, host, path,
 FROM p
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf, "op10_sanitise": op10_sanitise}
+QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_progressive_jpeg": op6_progressive_jpeg, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf, "op10_sanitise": op10_sanitise}
 SQL = {"op7_url_filter": OP7_SQL}
