@@ -25,7 +25,7 @@ SAMPLE = 1500
 SUPPORT, ODDS = 5, 2.5
 STEPS = 25
 #: Bytes of text whose chains are run together.
-CHUNK = 16 << 20
+CHUNK = 4 << 20
 
 
 def words_of(column: pa.Array) -> tuple[Words, np.ndarray]:
