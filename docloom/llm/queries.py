@@ -21,6 +21,32 @@ def op2_context_tree(spark, sf_dir):
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_token_rollup(spark, sf_dir):
+    """All documents go in; those labelled low in quality are revised (their first line goes), toxic ones deleted; one batch is committed twice."""
+    from docloom.llm.blocks import shared_folder
+    from docloom.llm.token_rollup import Ledger, counted
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ledger = Ledger(spark, shared_folder(spark, "ledger"))
+    ledger.commit("000", inserts=counted(docs))
+    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    first_line = F.coalesce(F.locate("\n", "text"), F.lit(0))
+    revised = counted(poor.withColumn("text", F.col("text").substr(first_line + 1, F.length("text"))))
+    ledger.commit("001", revisions=revised)
+    ledger.commit("001", revisions=revised)
+    ledger.commit("002", deletes=labels.where("toxic = 1").select("doc_id"))
+    return ledger.totals()
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN substr(text, strpos(text, chr(10)) + 1) ELSE text END AS text
+  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+v AS (SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n, length(text) AS c FROM d
+  UNION ALL SELECT source, lang, 'pieces-1', len(regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF}\x20\x09-\x0D]')), length(text) FROM d)
+SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(c) AS BIGINT) AS n_chars FROM v GROUP BY 1, 2, 3
+"""
+
+
 def op4_jaccard_join(spark, sf_dir):
     from docloom.llm.jaccard_join import near_duplicates
 
@@ -75,5 +101,5 @@ SELECT page_id, host, path,
 FROM p
 """
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_progressive_jpeg": op6_progressive_jpeg, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf, "op10_sanitise": op10_sanitise}
-SQL = {"op7_url_filter": OP7_SQL}
+QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op3_token_rollup": op3_token_rollup, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_progressive_jpeg": op6_progressive_jpeg, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf, "op10_sanitise": op10_sanitise}
+SQL = {"op3_token_rollup": OP3_SQL, "op7_url_filter": OP7_SQL}
