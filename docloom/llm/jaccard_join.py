@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import FLUSH, block_batch, block_schema, bucket_of, cut, joined, n_blocks, per_bucket, runs, split, text_rows
+from docloom.llm.blocks import FLUSH, block_batch, block_schema, bucket_of, cut, fresh, joined, n_blocks, per_bucket, release, row_key, runs, split, text_rows
 from docloom.llm.graph import components
 from docloom.llm.tokens import U, Words, mix, slices
 
 PERCENT = 85
 SHINGLE = 4
+#: Bits of the fixed-size filter of rows in components of several.
+FILTER_LOG2 = 25
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,15 +55,15 @@ def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def document_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key, n_shingles of each row; key null: no set."""
+    """doc_id, key, n_shingles of each row, and its row key; key null: no set."""
 
     def scan(batches):
         for batch in batches:
             for lo, hi in slices(batch.column("text")):
                 _, _, n, key = shingle_sets(batch.column("text").slice(lo, hi - lo), k)
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(key.view(np.int64), mask=n == 0), pa.array(n, pa.int64())], ["doc_id", "key", "n_shingles"])
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(key.view(np.int64), mask=n == 0), pa.array(n, pa.int64()), batch.column("row").slice(lo, hi - lo)], ["doc_id", "key", "n_shingles", "row"])
 
-    return docs.mapInArrow(scan, "doc_id long, key long, n_shingles long")
+    return docs.withColumn("row", row_key()).mapInArrow(scan, "doc_id long, key long, n_shingles long, row long")
 
 
 def shingle_blocks(docs: DataFrame, k: int, n: int) -> DataFrame:
@@ -209,22 +211,55 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of each row: the smallest doc_id that links reach.
+    """doc_id, n_shingles and component_id of each row: the smallest document id that links reach.
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of k-word shingles
     (A-Z lower-cased; with fewer than k words the whole sequence is the one shingle).  A null, empty or
     wordless text has no set, links with nothing and is its own component.  Equal texts and repeated rows
     link like any others.  Null ids never name a component with other ids in it; a component of null ids
     alone has a null id.  Texts are read whole; an empty table gives an empty result.  Shingles and sets
-    are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes.  Further columns: component (its key; null without a set) and row (a
+    hash of id and text).
     """
     rows = text_rows(docs, id_col, text_col)
     n = n_blocks(docs, text_col)
     sets = cut(records(shared_shingles(shingle_blocks(rows, k, n), n), percent))
+    release(docs.sparkSession)
     roots = set_components(sets, percent)
     of_docs = cut(document_sets(rows, k))
     by_key = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     named = by_key.join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    names = named.groupBy("root").agg(F.min("first_id").alias("component"))
-    of_key = named.join(names, "root").select("key", "component")
-    return of_docs.join(of_key, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    names = named.groupBy("root").agg(F.min("first_id").alias("name"))
+    of_key = named.join(names, "root").select("key", "name", F.col("root").alias("component"))
+    return of_docs.join(of_key, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("name")).alias("component_id"), "component", "row")
+
+
+def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one row left of each component: the smallest id's (nulls last; of equal ids the least row hash).
+
+    Rows without a set stay.  All columns stay.  A filter of fixed size passes most kept documents; only those
+    that it can't tell from dropped ones go through the exact join.
+    """
+    found = cut(near_duplicates(docs, percent, k, id_col, text_col).where("component is not null").select("component", "doc_id", "row"))
+    release(docs.sparkSession)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("w")
+    counts = found.groupBy("component").agg(least, F.count(F.lit(1)).alias("n"))
+    # Components of one row need no decision; of the others all rows but the first go.
+    shared = cut(found.join(counts.where("n > 1").select("component", F.col("w.row").alias("stays")), "component").groupBy("row").agg(F.max(F.col("row") == F.col("stays")).alias("stays")))
+    slots = shared.select(F.shiftrightunsigned("row", 64 - FILTER_LOG2).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    bits = np.zeros(1 << FILTER_LOG2, bool)
+    bits[slots] = True
+    filled = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    row, doubt, stays = fresh(docs, "_row"), fresh(docs, "_doubt"), fresh(docs, "_stays")
+
+    def doubtful(batches):
+        for batch in batches:
+            slot = (batch.column(row).to_numpy().view(U) >> U(64 - FILTER_LOG2)).astype(np.int64)
+            yield batch.append_column(doubt, pa.array((filled.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)))
+
+    keyed = docs.withColumn(row, row_key(id_col, text_col))
+    marked = keyed.mapInArrow(doubtful, ", ".join(f"`{c}` {t}" for c, t in keyed.dtypes) + f", {doubt} boolean")
+    unsure = marked.where(doubt).join(shared.select(F.col("row").alias(row), F.col("stays").alias(stays)), row, "left")
+    alone, first = unsure.where(f"{stays} is null"), unsure.where(stays).dropDuplicates([row])
+    return marked.where(f"not {doubt}").drop(row, doubt).union(alone.drop(row, doubt, stays).select(*docs.columns)).union(first.drop(row, doubt, stays).select(*docs.columns))

@@ -50,7 +50,7 @@ SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_
 def op4_jaccard_join(spark, sf_dir):
     from docloom.llm.jaccard_join import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_substring_dedup(spark, sf_dir):

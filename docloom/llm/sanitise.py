@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import cut
+from docloom.llm.blocks import cut, fresh, row_key
 from docloom.llm.tokens import NOT_ALNUM, U, Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -183,7 +183,7 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float, suppo
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("key"))
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), row_key(id_col, text_col).alias("key"))
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,15 +225,17 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, removal: float = R
 
     All rows and columns stay; a null text stays null.  A generalised term becomes [WORD] or [NUMBER].
     """
-    spans = find_personal_data(docs, disclosure, support, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("key").alias("_key"), F.col("base").alias("_base"), F.col("terms").alias("_terms")).dropDuplicates(["_key"])
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    both = docs.withColumn("_key", F.xxhash64(F.col(f"`{id_col}`").cast("long"), text)).join(spans, "_key", "left").drop("_key")
-    place = docs.columns.index(text_col)
+    key, base_col, terms_col = fresh(docs, "_key"), fresh(docs, "_base"), fresh(docs, "_terms")
+    spans = find_personal_data(docs, disclosure, support, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0))
+    spans = spans.select(F.col("key").alias(key), F.col("base").alias(base_col), F.col("terms").alias(terms_col)).dropDuplicates([key])
+    both = docs.withColumn(key, row_key(id_col, text_col)).join(spans, key, "left").drop(key)
+    names = docs.columns
+    place = names.index(text_col)
 
     def rewrite(batches):
         for batch in batches:
             texts = []
-            for value, base, terms in zip(batch.column(text_col), batch.column("_base"), batch.column("_terms"), strict=True):
+            for value, base, terms in zip(batch.column(place), batch.column(base_col), batch.column(terms_col), strict=True):
                 if base.is_valid and value.is_valid:
                     own = value.as_py()
                     spans = [(s["start"], s["end"], f"[{s['kind'].upper()}]") for s in base.as_py()]
@@ -241,7 +243,6 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, removal: float = R
                     texts.append(replaced(own, spans))
                 else:
                     texts.append(value.as_py())
-            columns = [pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(docs.columns))]
-            yield pa.record_batch(columns, docs.columns)
+            yield pa.record_batch([pa.array(texts, pa.string()) if i == place else batch.column(i) for i in range(len(names))], names)
 
     return both.mapInArrow(rewrite, docs.schema)

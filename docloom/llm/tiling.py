@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import cut, text_rows
+from docloom.llm.blocks import cut, fresh, row_key, text_rows
 from docloom.llm.tokens import NOT_ALNUM, U, Words, mix, slices, window_hashes
 
 MIN_MATCH = 5
@@ -118,6 +118,20 @@ class Benchmark:
             out.append((np.repeat(words.rows[place[found]], count), item[at_seed], at[at_seed], np.full(len(at_seed), n)))
         return (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 4
 
+    def search(self, column: pa.Array, threshold: float):
+        """(row, what `judge` says) of each contaminated row and item."""
+        words = normal_words(column)
+        row, item, at, n = self.hits(words)
+        order = np.lexsort((at, item, row))
+        row, item, at, n = row[order], item[order], at[order], n[order]
+        for a, z in _groups(row, item):
+            reach = np.minimum(np.diff(np.r_[at[a:z], 1 << 40]), n[a:z]).sum()  # item words that seeds cover
+            if reach >= threshold * len(self.items[item[a]]):
+                r = int(row[a])
+                found = self.judge(words.hashes[words.first[r] : words.first[r + 1]], int(item[a]), threshold)
+                if found:
+                    yield r, found
+
     def judge(self, doc: np.ndarray, k: int, threshold: float):
         item = self.items[k]
         tiles = tile(doc, item, min(self.min_match, len(item)))
@@ -152,31 +166,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
 
 
 def _by_broadcast(rows: DataFrame, items: DataFrame, min_match: int, threshold: float) -> DataFrame:
-    held = items.toArrow()
-    bench = rows.sparkSession.sparkContext.broadcast(Benchmark(held.column("item_id").to_numpy(), held.column("text"), min_match))
+    bench = _broadcast(items, min_match)
 
     def search(batches):
-        b = bench.value
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("doc_id")
             for lo, hi in slices(batch.column("text")):
-                words = normal_words(batch.column("text").slice(lo, hi - lo))
-                row, item, at, n = b.hits(words)
-                order = np.lexsort((at, item, row))
-                row, item, at, n = row[order], item[order], at[order], n[order]
-                out = []
-                for a, z in _groups(row, item):
-                    reach = np.minimum(np.diff(np.r_[at[a:z], 1 << 40]), n[a:z]).sum()  # item words that seeds cover
-                    if reach >= threshold * len(b.items[item[a]]):
-                        r = row[a]
-                        found = b.judge(words.hashes[words.first[r] : words.first[r + 1]], int(item[a]), threshold)
-                        if found:
-                            out.append((ids[lo + r], *found))
-                yield _result(out)
+                found = bench.value.search(batch.column("text").slice(lo, hi - lo), threshold)
+                yield _result([(ids[lo + r].as_py(), *x) for r, x in found])
 
     return rows.mapInArrow(search, RESULT)
 
 
+def _broadcast(items: DataFrame, min_match: int):
+    held = items.toArrow()
+    return items.sparkSession.sparkContext.broadcast(Benchmark(held.column("item_id").to_numpy(), held.column("text"), min_match))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents, with all their columns, that no benchmark item contaminates (see `contaminated`)."""
+    items = text_rows(benchmark, item_col, item_text_col).toDF("item_id", "text").where("item_id is not null")
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    if size > broadcast_bytes:
+        row = fresh(docs, "_row")
+        keyed = docs.withColumn(row, row_key(id_col, text_col))
+        rows = keyed.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+        bad = _by_seed_join(rows, items, min_match, threshold).select(F.col("doc_id").alias(row)).distinct()
+        return keyed.join(bad, row, "left_anti").drop(row)
+    bench = _broadcast(items, min_match)
+
+    def clean(batches):
+        for batch in batches:
+            text = batch.column(text_col)
+            ok = np.ones(len(batch), bool)
+            for lo, hi in slices(text):
+                for r, _ in bench.value.search(text.slice(lo, hi - lo), threshold):
+                    ok[lo + r] = False
+            yield batch.filter(pa.array(ok))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 def _groups(row: np.ndarray, item: np.ndarray):
     edge = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (item[1:] != item[:-1]), True]) if len(row) else np.zeros(1, int)
     return zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)

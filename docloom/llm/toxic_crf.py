@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import cut
+from docloom.llm.blocks import cut, text_rows
 from docloom.llm.tokens import NOT_ALNUM, U, Words, slices
 
 #: Words are told apart by this many bits of their hash.
@@ -205,15 +205,13 @@ def fit_field(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: i
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def score_toxicity(docs: DataFrame, field: Field, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep=()) -> DataFrame:
-    """doc_id, text, score, predicted, spans (code points of runs of words with a marginal of 1/2 or more), and the columns in keep.
+def score_toxicity(docs: DataFrame, field: Field, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score, predicted and spans (code points of runs of words with a marginal of 1/2 or more).
 
     One row for each input row.  A null or wordless text has no spans and the score of a text without
     toxic words.  Whole texts are tagged; a text of any length is one chain.
     """
     model = docs.sparkSession.sparkContext.broadcast(field)
-    extra = [f"_keep_{k}" for k in keep]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *(F.col(f"`{k}`").alias(e) for k, e in zip(keep, extra, strict=True)))
 
     def tag(batches):
         f = model.value
@@ -232,12 +230,26 @@ def score_toxicity(docs: DataFrame, field: Field, threshold: float = 0.5, id_col
                     for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
                         a, z = words.starts[run[0]] - words.offsets[r], words.ends[run[-1]] - words.offsets[r]
                         spans[r].append({"start": int(point[a]), "end": int(point[z])})
-                columns = [part.column("doc_id"), part.column("text"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, SPANS), *(part.column(e) for e in extra)]
-                yield pa.record_batch(columns, ["doc_id", "text", "score", "predicted", "spans", *extra])
+                columns = [part.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, SPANS)]
+                yield pa.record_batch(columns, ["doc_id", "score", "predicted", "spans"])
 
-    kinds = ", ".join(f"{e} {dict(rows.dtypes)[e]}" for e in extra)
-    out = rows.mapInArrow(tag, "doc_id long, text string, score double, predicted int, spans array<struct<start:long,end:long>>" + (f", {kinds}" if kinds else ""))
-    return out.withColumnsRenamed(dict(zip(extra, keep, strict=True)))
+    return text_rows(docs, id_col, text_col).mapInArrow(tag, "doc_id long, score double, predicted int, spans array<struct<start:long,end:long>>")
+
+
+def drop_toxic(docs: DataFrame, field: Field, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(field)
+
+    def clean(batches):
+        for batch in batches:
+            ok = []
+            text = batch.column(text_col)
+            for lo, hi in slices(text, CHUNK):
+                words, slot = words_of(text.slice(lo, hi - lo))
+                ok.append(model.value.score(model.value.marginals(model.value.index(slot), words.first), words.first) < threshold)
+            yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def training_labels(labels: DataFrame, label_col: str, folds: int, fold: int, id_col: str = "doc_id") -> DataFrame:
@@ -255,7 +267,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
     from).  Empty tables give an empty result; without labels every score is the curve's start.
     """
     learn = cut(training_labels(labels, label_col, folds, fold))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = text_rows(docs, id_col, text_col)
     scored = score_toxicity(rows, fit_field(rows, learn))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "spans")
