@@ -21,6 +21,8 @@ LOWER[65:91] += 32
 NOT_ALNUM = np.array([not (chr(b).isalnum() if b < 128 else True) for b in range(256)])
 #: Bytes of text handled at once inside a task; bounds numpy's temporaries.
 CHUNK = 1 << 20
+#: Bytes or words that share one run of powers.
+SEGMENT = 1 << 18
 
 
 @functools.lru_cache(8)
@@ -49,13 +51,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes and row offsets of a string column; null counts as empty."""
+    """UTF-8 bytes and row offsets of a string column, without a copy; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
@@ -98,7 +102,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         out, lo = np.empty(len(self.starts), U), 0
         while lo < len(out):
-            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + 4 * CHUNK)))
+            hi = max(lo + 1, int(np.searchsorted(self.ends, self.starts[lo] + SEGMENT)))
             base = self.starts[lo]
             part = self.data[base : self.ends[hi - 1]].astype(U) + U(1)
             up, down = powers(_BASE, len(part))
@@ -118,7 +122,7 @@ class Words:
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Rolling hash of the k words from each position on; 0 where fewer are left."""
-    out, step = np.zeros(len(words), U), 1 << 20
+    out, step = np.zeros(len(words), U), SEGMENT
     for lo in range(0, len(words) - k + 1, step):
         part = words[lo : lo + step + k - 1]
         up, down = powers(_WORD_BASE, len(part))
