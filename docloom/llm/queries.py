@@ -23,15 +23,16 @@ def op2_context_tree(spark, sf_dir):
 
 def op3_token_rollup(spark, sf_dir):
     """All documents go in; those labelled low in quality are revised (their first line goes), toxic ones deleted; one batch is committed twice."""
-    from docloom.llm.blocks import shared_folder
+    from docloom.llm.blocks import cut, shared_folder
     from docloom.llm.token_rollup import Ledger, counted
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     ledger = Ledger(spark, shared_folder(spark, "ledger"))
     ledger.commit("000", inserts=counted(docs))
-    poor = docs.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
     first_line = F.coalesce(F.locate("\n", "text"), F.lit(0))
-    revised = counted(poor.withColumn("text", F.col("text").substr(first_line + 1, F.length("text"))))
+    shorter = counted(docs.withColumn("text", F.col("text").substr(first_line + 1, F.length("text"))))
+    poor = labels.where("quality = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    revised = cut(shorter.join(poor, "doc_id", "left_semi"))  # counts are joined, not texts
     ledger.commit("001", revisions=revised)
     ledger.commit("001", revisions=revised)
     ledger.commit("002", deletes=labels.where("toxic = 1").select("doc_id"))
