@@ -1,9 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by exact length and source.  For each source the budget is first filled with
-whole copies of the source, then in proportion of the counts, and what is left of the budget is fitted
-by a bounded-knapsack dynamic programme over the lengths.  The plan says how many documents of each
-length to take; which ones, a seeded hash of the id says.
+Documents are counted by exact length and source.  For each source the budget is first filled in
+proportion of the counts, and what is left of it is fitted
+by a bounded-knapsack dynamic programme over the lengths.  The plan says how many copies of each length's
+documents to take; which documents have one more than the others, a seeded hash of the id says.
 """
 
 from __future__ import annotations
@@ -27,16 +27,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY) -> np.ndarray:
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY, seed: int = 0) -> np.ndarray:
     """How many documents of each size to take (at most counts) so that their sizes add up close to budget.
 
-    sizes: distinct, positive.  Never exceeds the budget.
+    sizes: distinct, positive.  Never exceeds the budget; up to `capacity` the fit is the best there is, and
+    beyond it all but about half of `capacity` is filled in proportion of the counts.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts.copy()
-    take = np.floor(counts * (budget / total)).astype(np.int64)
+    take = np.floor(counts * (max(0, budget - capacity // 2) / total)).astype(np.int64) if budget > capacity else np.zeros(len(sizes), np.int64)
     left = budget - int((sizes * take).sum())
     for k in np.argsort(-sizes):  # down to what the dynamic programme holds
         if left <= capacity:
@@ -45,7 +46,9 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int
         if n > 0:
             take[k] += n
             left -= n * int(sizes[k])
-    return take + knapsack(sizes, counts - take, left if left <= capacity else capacity)
+    order = np.random.default_rng(seed).permutation(len(sizes))  # no length comes first for its size
+    take[order] += knapsack(sizes[order], (counts - take)[order], min(left, capacity))
+    return take
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -115,14 +118,16 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, most: floa
     by_source = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
     goals = targets(by_source, share, weights, most)
 
+    limit = int(np.ceil(most))  # a document is taken so often at most
+
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        size_of_source, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
-        whole = int(target // size_of_source) if size_of_source else 0
-        real = pdf[pdf["size"] > 0].sort_values("size")
-        extra = fit_budget(real["size"].to_numpy(), real["n"].to_numpy(), int(target - whole * size_of_source)) if len(real) else []
-        out = real[["source", "size"]].assign(whole=whole, extra=extra)
-        none = pdf[pdf["size"] == 0][["source", "size"]].assign(whole=0, extra=0)
-        return pd.concat([out, none])[["source", "size", "whole", "extra"]].assign(source_size=size_of_source, target=target)
+        pdf = pdf.sort_values("size")
+        take = np.zeros(len(pdf), np.int64)
+        real = (pdf["size"] > 0).to_numpy()
+        n = pdf["n"].to_numpy()
+        if real.any():
+            take[real] = fit_budget(pdf["size"].to_numpy()[real], limit * n[real], int(pdf["target"].iloc[0]), seed=seed)
+        return pdf.assign(whole=take // n, extra=take % n)[["source", "size", "whole", "extra", "source_size", "target"]]
 
     # One group holds a source's distinct lengths and their counts, not its documents.
     planned = lengths.alias("l").join(goals.alias("g"), F.col("l.source").eqNullSafe(F.col("g.source"))).select("l.source", "size", "n", "source_size", "target")
