@@ -170,7 +170,8 @@ def fit_field(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: i
         yield pa.record_batch([pa.array(slot.astype(np.int32)), pa.array(total[0, slot].astype(np.int64)), pa.array(total[1, slot].astype(np.int64))], ["slot", "clean", "toxic"])
 
     of_rows = rows.where("doc_id is not null").mapInArrow(distinct, "doc_id long, slots binary")
-    counts = of_rows.join(labels, "doc_id").select("label", "slots").mapInArrow(count, "slot int, clean long, toxic long")
+    # Labels grow with the documents: the join is a shuffle at every size.
+    counts = of_rows.join(labels.hint("merge"), "doc_id").select("label", "slots").mapInArrow(count, "slot int, clean long, toxic long")
     counts = counts.groupBy("slot").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
