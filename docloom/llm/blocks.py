@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 24_000_000
 #: Entries that a task holds before it ships them.
 FLUSH = 2_000_000
+#: Bytes of an Arrow batch that goes to Python; a longer text makes a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -33,6 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """The same rows; from now on the session's Arrow batches are bounded in bytes, as rows can be of any length."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver collect its garbage, so that shuffle files whose lineage has been cut go now, not at some later collection."""
     gc.collect()
@@ -62,7 +70,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id (long) and the text, under fixed names; other columns never reach the scan."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return bounded(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
 def n_blocks(docs: DataFrame, text_col: str = "text", per: int = BLOCK_CHARS) -> int:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import cut, fresh, row_key
+from docloom.llm.blocks import bounded, cut, fresh, row_key
 from docloom.llm.tokens import NOT_ALNUM, U, Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -183,7 +183,7 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float, suppo
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), row_key(id_col, text_col).alias("key"))
+    return bounded(docs).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"), row_key(id_col, text_col).alias("key"))
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

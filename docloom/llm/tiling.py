@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import cut, fresh, row_key, text_rows
+from docloom.llm.blocks import bounded, cut, fresh, row_key, text_rows
 from docloom.llm.tokens import NOT_ALNUM, U, Words, mix, slices, window_hashes
 
 MIN_MATCH = 5
@@ -204,7 +204,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MA
                     ok[lo + r] = False
             yield batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return bounded(docs).mapInArrow(clean, docs.schema)
 
 
 def _groups(row: np.ndarray, item: np.ndarray):

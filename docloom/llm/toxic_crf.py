@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import cut, text_rows
+from docloom.llm.blocks import bounded, cut, text_rows
 from docloom.llm.tokens import NOT_ALNUM, U, Words, slices
 
 #: Words are told apart by this many bits of their hash.
@@ -250,7 +250,7 @@ def drop_toxic(docs: DataFrame, field: Field, threshold: float = 0.5, text_col:
                 ok.append(model.value.score(model.value.marginals(model.value.index(slot), words.first), words.first) < threshold)
             yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    return bounded(docs).mapInArrow(clean, docs.schema)
 
 
 def training_labels(labels: DataFrame, label_col: str, folds: int, fold: int, id_col: str = "doc_id") -> DataFrame:
