@@ -54,12 +54,35 @@ def op4_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, h FROM (SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1) + 1))) AS i FROM w))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1
+"""
+
+
 def op5_substring_dedup(spark, sf_dir):
     from docloom.llm.substring_dedup import dedup_substrings
 
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+own AS (SELECT h, min(doc_id) AS least_id FROM win GROUP BY 1),
+bad AS (SELECT DISTINCT doc_id, i + o AS pos FROM (SELECT doc_id, i, unnest(range(0, 50)) AS o FROM win JOIN own USING (h) WHERE doc_id > least_id)),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM word ANTI JOIN bad USING (doc_id, pos) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_progressive_jpeg(spark, sf_dir):
     from docloom.llm.progressive_jpeg import media_digest, store_texts
 
@@ -103,4 +126,4 @@ FROM p
 """
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_context_tree": op2_context_tree, "op3_token_rollup": op3_token_rollup, "op4_jaccard_join": op4_jaccard_join, "op5_substring_dedup": op5_substring_dedup, "op6_progressive_jpeg": op6_progressive_jpeg, "op7_url_filter": op7_url_filter, "op8_string_tiling": op8_string_tiling, "op9_toxic_crf": op9_toxic_crf, "op10_sanitise": op10_sanitise}
-SQL = {"op3_token_rollup": OP3_SQL, "op7_url_filter": OP7_SQL}
+SQL = {"op3_token_rollup": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_url_filter": OP7_SQL}
