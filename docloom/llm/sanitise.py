@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import bounded, cut, fresh, row_key
+from docloom.llm.blocks import FLUSH, bounded, cut, fresh, row_key
 from docloom.llm.tokens import NOT_ALNUM, U, Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -150,9 +150,13 @@ def document_frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
     bits[slots] = True
     wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
+    def ship(held):
+        term, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+
     def count(batches):
+        held, size = [], 0
         for batch in batches:
-            held = []
             for lo, hi in slices(batch.column("text")):
                 words = Words(batch.column("text").slice(lo, hi - lo), lower=True, breaks=NOT_ALNUM)
                 slot = (words.hashes >> U(64 - FILTER_LOG2)).astype(np.int64)
@@ -161,8 +165,12 @@ def document_frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 held.append(h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]] if len(h) else h)
-            term, n = np.unique(np.concatenate(held) if held else np.zeros(0, U), return_counts=True)
-            yield pa.record_batch([pa.array(term.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+                size += len(held[-1])
+                if size >= FLUSH:
+                    yield ship(held)
+                    held, size = [], 0
+        if size:
+            yield ship(held)
 
     return rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
@@ -172,13 +180,18 @@ def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float, suppo
     n = rows.count()
     near = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term").distinct()
     together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    together = cut(together)
     entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    terms = document_frequencies(rows, together.select("term").distinct()).withColumnRenamed("df", "df_term")
-    pairs = together.join(entities, "entity").join(terms, "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_entity") * F.col("df_term")))
-    information = F.log2(F.lit(float(n)) / F.col("df_entity"))
-    return pairs.withColumn("disclosed", F.when(information > 0, pmi / information).otherwise(0.0)).where(F.col("disclosed") >= disclosure).select("entity", "term", "disclosed")
+    beside = near.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_near"))
+
+    def disclosed(df_term: str):
+        pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_entity") * F.col(df_term)))
+        information = F.log2(F.lit(float(n)) / F.col("df_entity"))
+        return F.when(information > 0, pmi / information).otherwise(0.0)
+
+    # A term is in as many documents at least as it is near entities in; what can't reach the threshold with that few is not counted.
+    possible = cut(together.join(entities, "entity").join(beside, "term").where(disclosed("df_near") >= disclosure - 1e-9).select("entity", "term", "both", "df_entity"))
+    terms = document_frequencies(rows, possible.select("term").distinct()).withColumnRenamed("df", "df_term")
+    return possible.join(terms, "term").withColumn("disclosed", disclosed("df_term")).where(F.col("disclosed") >= disclosure).select("entity", "term", "disclosed")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
