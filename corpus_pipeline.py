@@ -16,6 +16,8 @@ from docloom.llm.mixing import mix_sources
 from docloom.llm.sanitise import sanitise
 from docloom.llm.tiling import decontaminate
 
+#: Near duplicates: 100 * Jaccard from this on, over shingles of so many words (op4_jaccard_join has its own contract).
+PERCENT, SHINGLE = 80, 5
 #: Labels of ids whose crc32 falls in this fold are never learnt from.
 FOLDS, FOLD = 5, 0
 
@@ -28,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates: the one with the smallest id."""
-    return deduplicate(docs)
+    return deduplicate(docs, percent=PERCENT, k=SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

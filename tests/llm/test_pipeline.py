@@ -33,6 +33,20 @@ def test_stages(spark, corpus, folder):
     assert not any("@mail" in t for t in texts)
 
 
+def test_near_duplicates_are_pairs_of_four_fifths_on_five_words(spark, folder):
+    def pair(n):
+        a = [f"w{n}x{i}" for i in range(n)]
+        b = [*a[: n // 2], "changed", *a[n // 2 + 1 :]]
+        cut = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+        return " ".join(a), " ".join(b), [len(cut(a, k) & cut(b, k)) / len(cut(a, k) | cut(b, k)) for k in (4, 5)]
+
+    a, b, (four, five) = pair(50)
+    c, d, (_, far) = pair(40)
+    assert 0.8 <= five < 0.85 and four < 0.85 and far < 0.8
+    docs = spark.createDataFrame(list(enumerate((a, b, c, d))), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()) == [0, 2, 3]
+
+
 def test_run_is_registered_and_repeats(spark, folder):
     query = __spark_entry__.queries()["pipeline"]
     a, b = (sorted(map(str, query(spark, folder).collect())) for _ in range(2))
