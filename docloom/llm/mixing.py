@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: The dynamic programme's largest remaining budget, in words; a greedy pass goes down to it.
-CAPACITY = 1 << 15
+#: The remaining budget, in units, with which the dynamic programme starts (twice the largest length if that
+#: is more); a greedy pass goes down to it.  While the fit misses the budget, it grows, up to MOST units.
+CAPACITY, MOST = 1 << 15, 1 << 24
 #: Parts of a length group that are ranked apart, so that no group is ranked in one task.
 PARTS = 256
 
@@ -30,13 +31,28 @@ def word_count(text: Column) -> Column:
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int = CAPACITY, seed: int = 0) -> np.ndarray:
     """How many documents of each size to take (at most counts) so that their sizes add up close to budget.
 
-    sizes: distinct, positive.  Never exceeds the budget; up to `capacity` the fit is the best there is, and
-    beyond it all but about half of `capacity` is filled in proportion of the counts.
+    sizes: distinct, positive.  Never exceeds the budget.  Sizes count in units of their common divisor.  A fit
+    without a miss, or of a budget up to `MOST` units, is the best there is; any other is the best of the fits
+    with ever more of the budget left to the programme.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
-    total = int((sizes * counts).sum())
-    if budget >= total:
+    if budget >= int((sizes * counts).sum()):
         return counts.copy()
+    unit = int(np.gcd.reduce(sizes))
+    sizes, budget = sizes // unit, budget // unit
+    capacity = max(capacity, 2 * int(sizes.max()))
+    best, missed = _fit(sizes, counts, budget, capacity, seed)
+    while missed and capacity < min(budget, MOST):
+        capacity = min(4 * capacity, MOST)
+        take, miss = _fit(sizes, counts, budget, capacity, seed)
+        if miss < missed:
+            best, missed = take, miss
+    return best
+
+
+def _fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int, seed: int) -> tuple[np.ndarray, int]:
+    """The copies of each size, and what of the budget they miss; capacity: twice the largest size at least."""
+    total = int((sizes * counts).sum())
     take = np.floor(counts * (max(0, budget - capacity // 2) / total)).astype(np.int64) if budget > capacity else np.zeros(len(sizes), np.int64)
     left = budget - int((sizes * take).sum())
     for k in np.argsort(-sizes):  # down to what the dynamic programme holds
@@ -47,8 +63,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int
             take[k] += n
             left -= n * int(sizes[k])
     order = np.random.default_rng(seed).permutation(len(sizes))  # no length comes first for its size
-    take[order] += knapsack(sizes[order], (counts - take)[order], min(left, capacity))
-    return take
+    take[order] += knapsack(sizes[order], (counts - take)[order], left)
+    return take, budget - int((sizes * take).sum())
 
 
 def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -56,7 +72,7 @@ def knapsack(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     take = np.zeros(len(sizes), np.int64)
     reached = np.zeros(budget + 1, bool)
     reached[0] = True
-    by = np.full(budget + 1, -1, np.int64)  # the piece that first reached a sum
+    by = np.full(budget + 1, -1, np.int32)  # the piece that first reached a sum
     pieces: list[tuple[int, int, int]] = []
     for k, (size, count) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
         count, step = min(count, budget // size), 1
@@ -105,7 +121,7 @@ def mix_sources(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, most: floa
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken, and the columns in keep.
 
     A document is taken 0, 1 or 2 times (`most` rounded up); `taken` is copies * size.  Each source's taken
-    words are at most its target and as near to it as the lengths allow.  A null source is a source of its
+    words are at most its target and as near to it as `fit_budget` comes.  A null source is a source of its
     own, a null or wordless text has size 0 and is never taken, a null id is an ordinary id.  Repeated rows
     are documents of their own; among equal ids and lengths any of the equal rows may be the one taken, so
     reruns agree as sets of rows.  An empty table gives an empty result.

@@ -80,6 +80,31 @@ def test_fit_budget_comes_near_large_budgets():
         assert 0 <= budget - int((take * sizes).sum()) <= sizes.min()
 
 
+def test_fit_budget_of_long_documents_only():
+    from docloom.llm.mixing import fit_budget
+
+    for sizes, counts, budget in (
+        ([45000], [1], 50000),
+        ([40000, 50000, 60000], [2, 2, 2], 100000),
+        ([60000, 70000], [40, 40], 500000),
+        ([60000, 70001], [40, 40], 2000008),
+        ([60000, 70001], [40, 40], 2030008),
+        ([33000, 40001], [1, 3], 120002),
+        ([1000000, 1000001], [2, 2], 3500000),
+    ):
+        take = fit_budget(np.array(sizes), np.array(counts), budget)
+        sums = (sum(s * n for s, n in zip(sizes, some, strict=True)) for some in itertools.product(*(range(c + 1) for c in counts)))
+        assert (take >= 0).all() and (take <= counts).all()
+        assert int((take * sizes).sum()) == max(s for s in sums if s <= budget), (sizes, budget)
+
+
+def test_mix_takes_documents_longer_than_the_programme_starts_with(spark):
+    from docloom.llm.mixing import mix_sources
+
+    docs = spark.createDataFrame([(i, "a", "w " * n) for i, n in enumerate((40000, 50000, 60000))], "doc_id long, source string, text string")
+    assert sum(r["taken"] for r in mix_sources(docs, share=0.7).collect()) == 100000
+
+
 def test_mix_sources(spark, corpus):
     from docloom.llm.mixing import mix_sources
 
