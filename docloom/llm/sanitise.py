@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that give protected values away (information-theoretic sanitisation).
 
-Pattern matches (email, ip, card, phone) are the protected entities.  A term near an entity discloses
+Pattern matches (email, ip, card, phone) are the protected entities.  A term of the documents that hold an
+entity (a word that no pattern match touches) discloses
 
     PMI(entity; term) / IC(entity) = log2(N df(entity, term) / (df(entity) df(term))) / log2(N / df(entity))
 
 of the entity's information, with document frequencies counted over the whole corpus.  Terms that disclose
-`disclosure` of it or more, in `support` documents or more, are spans of kind `term`: generalised, or
-removed if they disclose `removal` or more.
+`disclosure` of it or more, in `support` documents or more, are spans of kind `term` wherever they stand in
+the documents that hold the entity: generalised, or removed if they disclose `removal` or more.
 """
 
 from __future__ import annotations
@@ -16,18 +17,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.blocks import FLUSH, bounded, cut, fresh, row_key
 from docloom.llm.tokens import NOT_ALNUM, U, Words, slices
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters on either side of an entity within which a whole word is a term near it.
-REACH = 48
 DISCLOSURE, REMOVAL, SUPPORT = 0.8, 0.95, 2
-#: Bits of the fixed-size filter of terms.
-FILTER_LOG2 = 24
+#: Bits of the fixed-size filters of terms, pairs and rows, and of the one of entities.
+FILTER_LOG2, ENTITIES_LOG2 = 24, 20
+#: A term in at least this part of all rows is broadcast with its frequency: (terms a row) / COMMON at most.
+COMMON = 1 / 16384
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -102,19 +103,24 @@ def entity_of(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{value}".encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def near_terms(text: str, start: int, end: int, taken: list[tuple[int, int]]):
-    """(start, end) of the whole words within REACH of a span that no pattern has taken."""
-    for a, z in ((max(0, start - REACH), start), (end, min(len(text), end + REACH))):
-        for m in _TERM.finditer(text, a, z):
-            s, e = m.span()
-            cut_off = s == a and s > 0 and _TERM.match(text[s - 1]) or e == z and e < len(text) and _TERM.match(text[e])
-            if not cut_off and not any(s < y and x < e for x, y in taken):
-                yield s, e
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text, at its length, with spaces for the words that the spans touch and for the spans."""
+    out, done = [], 0
+    for a, z in sorted(spans):
+        while a > done and _TERM.match(text[a]) and _TERM.match(text[a - 1]):
+            a -= 1
+        while z < len(text) and _TERM.match(text[z - 1]) and _TERM.match(text[z]):
+            z += 1
+        a = max(a, done)
+        if z > a:
+            out += [text[done:a], " " * (z - a)]
+            done = z
+    return "".join([*out, text[done:]])
 
 
-DETECTED = "doc_id long, key long, base array<struct<kind:string,start:long,end:long>>, near array<struct<entity:long,term:long,start:long,end:long>>, base_sha256 string"
+DETECTED = "doc_id long, key long, base array<struct<kind:string,start:long,end:long>>, entities array<long>, terms binary, base_sha256 string"
 BASE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+TERMS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("disclosed", pa.float64())]))
 
 
 def term_hashes(terms: list[str]) -> np.ndarray:
@@ -122,33 +128,46 @@ def term_hashes(terms: list[str]) -> np.ndarray:
 
 
 def detect(rows: DataFrame) -> DataFrame:
-    """Pattern spans of each row and the terms near them.  rows: doc_id, text, key."""
+    """Pattern spans of each row, and its distinct entities and terms (none without an entity).  rows: doc_id, text, key."""
 
     def scan(batches):
         for batch in batches:
-            base, near, digests = [], [], []
+            base, entities, rest, digests = [], [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 spans = patterns(text)
                 base.append([{"kind": k, "start": a, "end": z} for k, a, z in spans])
                 digests.append(hashlib.sha256(",".join(f"{k}:{a}:{z}" for k, a, z in spans).encode()).hexdigest())
-                taken, own = [(a, z) for _, a, z in spans], []
-                for kind, a, z in spans:
-                    entity = entity_of(kind, text[a:z])
-                    places = list(near_terms(text, a, z, taken))
-                    own += [{"entity": entity, "term": int(t), "start": s, "end": e} for t, (s, e) in zip(term_hashes([text[s:e] for s, e in places]), places, strict=True)]
-                near.append(own)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(base, BASE), pa.array(near, NEAR), pa.array(digests)], ["doc_id", "key", "base", "near", "base_sha256"])
+                entities.append(sorted({entity_of(k, text[a:z]) for k, a, z in spans}))
+                rest.append(masked(text, [(a, z) for _, a, z in spans]) if spans else "")
+            terms, rest = [], pa.array(rest, pa.string())
+            for lo, hi in slices(rest):
+                words = Words(rest.slice(lo, hi - lo), lower=True, breaks=NOT_ALNUM)
+                terms += [np.unique(words.hashes[a:z]).tobytes() for a, z in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(base, BASE), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.binary()), pa.array(digests)], ["doc_id", "key", "base", "entities", "terms", "base_sha256"])
 
     return rows.mapInArrow(scan, DETECTED)
 
 
-def document_frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df over all rows, of at least the given terms: a filter of fixed size drops most others before the shuffle."""
-    slots = terms.select(F.shiftrightunsigned("term", 64 - FILTER_LOG2).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    bits = np.zeros(1 << FILTER_LOG2, bool)
+def slot_of(h: np.ndarray, log2: int) -> np.ndarray:
+    return (h.view(U) >> U(64 - log2)).astype(np.int64)
+
+
+def slots_in(df: DataFrame, column: Column, log2: int = FILTER_LOG2) -> np.ndarray:
+    """Filter of fixed size, as packed bits: the slots of the column's values."""
+    slots = df.select(F.shiftrightunsigned(column, 64 - log2).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    bits = np.zeros(1 << log2, bool)
     bits[slots] = True
-    wanted = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    return np.packbits(bits)
+
+
+def passes(bits: np.ndarray, h: np.ndarray, log2: int = FILTER_LOG2) -> np.ndarray:
+    slot = slot_of(h, log2)
+    return (bits[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
+
+
+def document_frequencies(rows: DataFrame) -> DataFrame:
+    """term, df over all rows: added up in the tasks before the shuffle."""
 
     def ship(held):
         term, n = np.unique(np.concatenate(held), return_counts=True)
@@ -159,9 +178,7 @@ def document_frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
         for batch in batches:
             for lo, hi in slices(batch.column("text")):
                 words = Words(batch.column("text").slice(lo, hi - lo), lower=True, breaks=NOT_ALNUM)
-                slot = (words.hashes >> U(64 - FILTER_LOG2)).astype(np.int64)
-                ok = (wanted.value[slot >> 3] >> (7 - (slot & 7)) & 1).astype(bool)
-                h, row = words.hashes[ok], words.rows[ok]
+                h, row = words.hashes, words.rows
                 order = np.lexsort((h, row))
                 h, row = h[order], row[order]
                 held.append(h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]] if len(h) else h)
@@ -175,23 +192,102 @@ def document_frequencies(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def most_documents(df_entity, n: float, disclosure: float):
+    """A term in more documents discloses too little of an entity in df_entity of n, even if it is in all of those."""
+    return n * (df_entity / n) ** disclosure * (1 + 1e-9)
+
+
+def pairs_of(found: DataFrame, frequency, terms, n: int, disclosure: float, wanted=None) -> DataFrame:
+    """key, entity, term: all pairs of a row's entities and terms whose frequencies can reach the threshold, and some that can't.
+
+    frequency: by entity slot, of its most frequent entity (0: none).  terms: common terms and their frequencies,
+    and by term slot log2 of its rarest term's frequency (255: none).  wanted: filter of the pairs.
+    """
+
+    def scan(batches):
+        held, size = [], 0
+        common, counts, rarest = terms.value
+        for batch in batches:
+            for key, own, packed in zip(batch.column("key"), batch.column("entities"), batch.column("terms"), strict=True):
+                entity = np.array(own.as_py(), np.int64)
+                df = frequency.value[slot_of(entity, ENTITIES_LOG2)]
+                entity, most = entity[df > 0], most_documents(df[df > 0], n, disclosure)
+                if not len(entity):
+                    continue
+                term = np.frombuffer(packed.as_py(), np.int64)
+                scale = rarest[slot_of(term, FILTER_LOG2)]
+                least = np.where(scale < 255, np.exp2(scale.astype(np.float64)), np.inf)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, term), len(common) - 1)
+                    least = np.where(common[at] == term, counts[at], least)
+                for e, limit in zip(entity, most, strict=True):
+                    some = term[least <= limit]
+                    if wanted is not None:
+                        some = some[passes(wanted.value, some ^ e)]
+                    held.append((np.full(len(some), key.as_py()), np.full(len(some), e), some))
+                    size += len(some)
+                    if size >= FLUSH:
+                        yield ship(held)
+                        held, size = [], 0
+        if size:
+            yield ship(held)
+
+    def ship(held):
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["key", "entity", "term"])
+
+    return found.where(F.size("entities") > 0).select("key", "entities", "terms").mapInArrow(scan, "key long, entity long, term long")
+
+
 def disclosing_terms(rows: DataFrame, found: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """entity, term, disclosed: the pairs over the threshold, from all rows' counts."""
-    n = rows.count()
-    near = found.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term").distinct()
-    together = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    entities = near.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
-    beside = near.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df_near"))
+    """key, term, disclosed: the terms of each row that disclose one of its entities, from all rows' counts."""
+    sc, n = rows.sparkSession.sparkContext, rows.count()
+    entities = found.select("key", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    entities = cut(entities.where(F.col("df_entity") >= support))
+    slots = entities.groupBy(F.shiftrightunsigned("entity", 64 - ENTITIES_LOG2).cast("int").alias("slot")).agg(F.max("df_entity").alias("df")).toArrow()
+    frequency = np.zeros(1 << ENTITIES_LOG2, np.int64)
+    frequency[slots.column("slot").to_numpy()] = slots.column("df").to_numpy()
+    most = float(most_documents(frequency.max(), max(n, 1), disclosure))
+    frequency = sc.broadcast(frequency)
+    terms = document_frequencies(rows).withColumnRenamed("df", "df_term")
+    terms = cut(terms.where((F.col("df_term") >= support) & (F.col("df_term") <= most)))
+    often = F.col("df_term") >= n * COMMON
+    common = terms.where(often).toArrow()
+    order = np.argsort(common.column("term").to_numpy())
+    slots = terms.where(~often).groupBy(F.shiftrightunsigned("term", 64 - FILTER_LOG2).cast("int").alias("slot")).agg(F.floor(F.log2(F.min("df_term"))).cast("short").alias("scale")).toArrow()
+    rarest = np.full(1 << FILTER_LOG2, 255, np.uint8)
+    rarest[slots.column("slot").to_numpy()] = slots.column("scale").to_numpy()
+    known = sc.broadcast((common.column("term").to_numpy()[order], common.column("df_term").to_numpy()[order], rarest))
+    together = pairs_of(found, frequency, known, n, disclosure).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_entity") * F.col("df_term")))
+    information = F.log2(F.lit(float(n)) / F.col("df_entity"))
+    disclosed = F.when(information > 0, pmi / information).otherwise(0.0)
+    pairs = together.join(entities, "entity").join(terms, "term").withColumn("disclosed", disclosed).where(F.col("disclosed") >= disclosure)
+    pairs = cut(pairs.select("entity", "term", "disclosed"))
+    wanted = sc.broadcast(slots_in(pairs, F.col("entity").bitwiseXOR(F.col("term"))))
+    return pairs_of(found, frequency, known, n, disclosure, wanted).join(pairs, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosed").alias("disclosed"))
+
+
+def term_spans(rows: DataFrame, of_rows: DataFrame) -> DataFrame:
+    """key, terms: where the given terms (key, term, disclosed) stand in the rows of these keys.  Other rows' texts are not shuffled."""
+    wanted = rows.sparkSession.sparkContext.broadcast(slots_in(of_rows, F.col("key")))
+
+    def some(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(wanted.value, batch.column("key").to_numpy())))
 
-    def disclosed(df_term: str):
-        pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("df_entity") * F.col(df_term)))
-        information = F.log2(F.lit(float(n)) / F.col("df_entity"))
-        return F.when(information > 0, pmi / information).otherwise(0.0)
+    def place(batches):
+        for batch in batches:
+            out = []
+            for value, own in zip(batch.column("text"), batch.column("own"), strict=True):
+                text, disclosed = value.as_py(), {x["term"]: x["disclosed"] for x in own.as_py()}
+                places = [m.span() for m in _TERM.finditer(masked(text, [(a, z) for _, a, z in patterns(text)]))]
+                terms = term_hashes([text[a:z] for a, z in places]).tolist()
+                out.append([{"start": a, "end": z, "disclosed": disclosed[t]} for t, (a, z) in zip(terms, places, strict=True) if t in disclosed])
+            yield pa.record_batch([batch.column("key"), pa.array(out, TERMS)], ["key", "terms"])
 
-    # A term is in as many documents at least as it is near entities in; what can't reach the threshold with that few is not counted.
-    possible = cut(together.join(entities, "entity").join(beside, "term").where(disclosed("df_near") >= disclosure - 1e-9).select("entity", "term", "both", "df_entity"))
-    terms = document_frequencies(rows, possible.select("term").distinct()).withColumnRenamed("df", "df_term")
-    return possible.join(terms, "term").withColumn("disclosed", disclosed("df_term")).where(F.col("disclosed") >= disclosure).select("entity", "term", "disclosed")
+    lists = of_rows.groupBy("key").agg(F.collect_list(F.struct("term", "disclosed")).alias("own"))
+    held = rows.select("key", "text").mapInArrow(some, "key long, text string").join(lists, "key")
+    return held.mapInArrow(place, "key long, terms array<struct<start:long,end:long,disclosed:double>>").dropDuplicates(["key"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -207,12 +303,9 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     """
     rows = _keyed(docs, id_col, text_col)
     found = cut(detect(rows))
-    pairs = disclosing_terms(rows, found, disclosure, support)
-    near = found.select("key", F.explode("near").alias("x")).select("key", "x.*").distinct()
-    spans = near.join(pairs, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosed").alias("disclosed"))
-    spans = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosed"))).alias("terms"))
+    spans = term_spans(rows, cut(disclosing_terms(rows, found, disclosure, support)))
     empty = F.array().cast("array<struct<start:long,end:long,disclosed:double>>")
-    return found.join(spans, "key", "left").select("doc_id", "key", "base", F.coalesce("terms", empty).alias("terms"), "base_sha256")
+    return found.drop("terms").join(spans, "key", "left").select("doc_id", "key", "base", F.coalesce("terms", empty).alias("terms"), "base_sha256")
 
 
 def span_digest(found: DataFrame) -> DataFrame:
