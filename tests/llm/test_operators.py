@@ -84,7 +84,7 @@ def test_fit_budget_of_long_documents_only():
     from docloom.llm.mixing import fit_budget
 
     for sizes, counts, budget in (
-        ([45000], [1], 50000),
+        ([45000], [2], 50000),
         ([40000, 50000, 60000], [2, 2, 2], 100000),
         ([60000, 70000], [40, 40], 500000),
         ([60000, 70001], [40, 40], 2000008),
