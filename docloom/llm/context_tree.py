@@ -2,18 +2,24 @@
 
 A byte is eight binary decisions; each of the 255 decision nodes has a context tree over the preceding
 bytes.  A tree node keeps counts of zeros and ones, predicts with the Krichevsky-Trofimov estimate, and
-is mixed with its children: ``Pw = (Pe + product of the children's Pw) / 2``.  Spark counts all training
-bytes in their contexts and folds the trees level by level, from the longest contexts to the root.
+is mixed with its children: ``Pw = (Pe + product of the children's Pw) / 2``; a child that no training
+byte has reached predicts 1/2.
 
-The model that tasks score with is a hashed table of 2**SLOTS_LOG2 nodes, so its size is fixed whatever
-the corpus; where nodes meet, the one that has seen most stays.  A word unigram score over the same training rows
-is computed beside it, from exact counts.
+No node is dropped, and the trees grow with the corpus:
+
+1. Documents are dealt to blocks of bounded size; a block sends each range of contexts its distinct
+   grams (a byte with the bytes before it) and how often its training rows have them.  A range holds
+   whole contexts of `CUT` bytes, so it can fold all deeper nodes.
+2. The few nodes above that depth are folded by grouped sums, level by level, and the weights go down
+   again in joins of a node with its parent.
+3. A range mixes all depths for each gram and answers every block; a block then adds up its documents.
+
+Words for the unigram score beside it are counted and answered in the same ranges.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -21,48 +27,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import FLUSH, block_batch, block_schema, bounded, bucket_of, cut, joined, n_blocks, per_bucket, runs, split
+from docloom.llm.blocks import bounded, bucket_of, cut, joined, n_blocks, release, runs, split
 from docloom.llm.tokens import LOWER, U, Words, mix, slices, string_bytes
 
-#: Context bytes of the longest contexts; 7 at most.
+#: Context bytes of the longest contexts; 1 to 7.
 DEPTH = 5
-SLOTS_LOG2 = 22
-#: A word that is at least this part of all training tokens is broadcast with its count: 1 / HEAVY words at most.
-HEAVY = 1 / 65536
-#: Bytes of text scored at once, and entries held before they are shipped; they bound a task's memory.
-SCORE_CHUNK = 1 << 20
-HELD = FLUSH // 4
-#: Slots of the cache of scored grams that a worker keeps (direct-mapped: a newer gram takes the slot).
-CACHE_LOG2 = 21
+#: Nodes of contexts up to this long are folded by Spark, longer ones inside a range: 2**24 grams at most share a context of three bytes (DEPTH 5).
+CUT = 3
+#: Bytes of text whose grams are looked at together.
+CHUNK = 1 << 20
+
 
+def low_bytes(context, n: int):
+    """The nearest n bytes of contexts (a Column or an array)."""
+    mask = (1 << 8 * n) - 1
+    return context.bitwiseAND(F.lit(mask)) if isinstance(context, Column) else context & U(mask)
 
-def grams(column: pa.Array, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte of each lower-cased text and a final 0 byte: the byte with the `depth` bytes before it, and the row.
 
-    The newest byte is the lowest; before a text stand zeros.
+def grams(column: pa.Array, depth: int):
+    """Pieces (grams, rows): each byte of each lower-cased text and a final 0 byte, with the `depth` bytes before it.
+
+    The newest byte is the lowest; before a text stand zeros.  A text of any length comes in several pieces.
     """
     data, offsets = string_bytes(column)
     n = len(offsets) - 1
-    rows = np.repeat(np.arange(n), np.diff(offsets) + 1)
+    begin = offsets[:-1] + np.arange(n) * (depth + 1)  # of a row's zeros, its bytes and the final zero
     padded = np.zeros(len(data) + n * (depth + 1), np.uint8)
-    at = np.arange(len(rows)) + (rows + 1) * depth  # places of the bytes and the final zeros
-    inner = np.ones(len(rows), bool)
-    inner[np.cumsum(np.diff(offsets) + 1) - 1] = False
-    padded[at[inner]] = LOWER[data]
-    out = np.zeros(len(rows), U)
-    for j in range(depth + 1):
-        out |= padded[at - j].astype(U) << U(8 * j)
-    return out, rows
-
-
-def context_hash(depth: int, context: np.ndarray) -> np.ndarray:
-    return mix(context + np.full(1, depth + 1, U) * U(0x9E3779B97F4A7C15))
-
-
-def slot_of(of_context: np.ndarray, node: np.ndarray, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and 16-bit tag of the decision nodes of hashed contexts."""
-    h = (of_context ^ node * U(0xC2B2AE3D27D4EB4F)) * U(0x9E3779B97F4A7C15)
-    return (h >> U(64 - log2)).astype(np.int64), (h >> U(48 - log2) & U(0xFFFF)).astype(np.int32)
+    padded[np.arange(len(data)) + np.repeat(np.arange(n) * (depth + 1) + depth, np.diff(offsets))] = LOWER[data]
+    for lo in range(depth, len(padded), CHUNK):
+        hi = min(len(padded), lo + CHUNK)
+        out = np.zeros(hi - lo, U)
+        for j in range(depth + 1):
+            out |= padded[lo - j : hi - j].astype(U) << U(8 * j)
+        row = np.searchsorted(begin, np.arange(lo, hi), side="right") - 1
+        real = np.arange(lo, hi) - begin[row] >= depth
+        yield out[real], row[real]
 
 
 def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -70,222 +69,175 @@ def is_held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def counted(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Exact counts over the training rows: (gram, n) and (word hash, n)."""
-
-    def count_grams(batches):
-        held, n = [], 0
-        for batch in batches:
-            for lo, hi in slices(batch.column("text"), SCORE_CHUNK):
-                codes, values = pd.factorize(grams(batch.column("text").slice(lo, hi - lo), depth)[0])
-                held.append(pd.Series(np.bincount(codes), values))
-                n += len(values)
-                if n > HELD:
-                    yield ship(held, "gram")
-                    held, n = [], 0
-        if held:
-            yield ship(held, "gram")
-
-    def count_words(batches):
-        held, n = [], 0
-        for batch in batches:
-            for lo, hi in slices(batch.column("text"), SCORE_CHUNK):
-                codes, values = pd.factorize(Words(batch.column("text").slice(lo, hi - lo), lower=True).hashes)
-                held.append(pd.Series(np.bincount(codes, minlength=len(values)), values))
-                n += len(values)
-                if n > HELD:
-                    yield ship(held, "word")
-                    held, n = [], 0
-        if held:
-            yield ship(held, "word")
-
-    def ship(held, name):
-        total = pd.concat(held)
-        codes, values = pd.factorize(total.index.to_numpy(U))
-        sums = np.bincount(codes, total.to_numpy(), minlength=len(values)).astype(np.int64)
-        return pa.record_batch([pa.array(np.asarray(values, U).view(np.int64)), pa.array(sums)], [name, "n"])
-
-    by_gram = rows.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    by_word = rows.mapInArrow(count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return by_gram, by_word
+def added(values: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the sums of their counts."""
+    if not values:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    codes, distinct = pd.factorize(np.concatenate(values))
+    sums = np.bincount(codes, np.concatenate(counts), len(distinct)).astype(np.int64)
+    distinct = np.asarray(distinct, U)
+    order = np.argsort(distinct)
+    return distinct[order], sums[order]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln of the gamma function for x >= 1/2, by Stirling's series at x + 8."""
-    y, low = x + 8, x.copy()
+    """ln of the gamma function for x >= 1/2, by Stirling's series at x + 8.  Arrays or Columns."""
+    y, low, log = x + 8, x, F.log if isinstance(x, Column) else np.log
     for i in range(1, 8):
-        low *= x + i
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - np.log(low)
+        low = low * (x + i)
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - log(low)
 
 
-def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones in any order."""
+def log_kt(n0, n1):
+    """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones in any order.  Arrays or Columns."""
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-class Nodes:
-    """Tree nodes of one depth: context, decision node, counts, ln Pw, and what the slots hold.
+class Level:
+    """Tree nodes of one depth: context, decision node, counts and ln Pw; odds: ln(Pe / product of the children's Pw).
 
-    odds is ln(Pe / product of the children's Pw).  A node is a chain if it and all below it have one child
-    at most: then all of them predict alike, and only the topmost is worth a slot.
+    up: each node's parent in the level above.
     """
 
-    def __init__(self, depth, context, node, n0, n1, weighted, odds, chain):
-        self.depth, self.context, self.node, self.n0, self.n1, self.weighted, self.odds, self.chain = depth, context, node, n0, n1, weighted, odds, chain
+    def __init__(self, depth, context, node, n0, n1, weighted, odds):
+        self.depth, self.context, self.node, self.n0, self.n1, self.weighted, self.odds = depth, context, node, n0, n1, weighted, odds
+        self.up: np.ndarray | None = None
 
     @classmethod
-    def longest(cls, gram: np.ndarray, n: np.ndarray, depth: int) -> Nodes:
+    def longest(cls, gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[Level, np.ndarray]:
+        """The leaves of distinct grams that occur n times, and each gram's leaf at each of its eight decisions."""
         symbol, context = gram & U(255), gram >> U(8)
-        key = np.concatenate([context * U(256) + (U(1 << k) + (symbol >> U(8 - k))) for k in range(8)])
+        key = np.concatenate([context << U(8) | (U(1 << k) + (symbol >> U(8 - k))) for k in range(8)])
         ones = np.concatenate([n * ((symbol >> U(7 - k)) & U(1)).astype(np.float64) for k in range(8)])
-        order = np.argsort(key, kind="stable")
-        key, ones, every = key[order], ones[order], np.tile(n, 8)[order]
-        start, _ = runs(key)
-        n1 = np.add.reduceat(ones, start)
-        n0 = np.add.reduceat(every, start) - n1
-        key = key[start]
-        return cls(depth, key >> U(8), key & U(255), n0, n1, log_kt(n0, n1), np.full(len(key), 30.0), np.ones(len(key), bool))
-
-    def fold(self) -> tuple[Nodes, np.ndarray]:
-        """The nodes one byte shorter, and which of these nodes a slot is worth."""
+        key, place, (every, n1) = grouped(key, [np.tile(n.astype(np.float64), 8), ones])
+        n0 = every - n1
+        return cls(depth, key >> U(8), key & U(255), n0, n1, log_kt(n0, n1), np.full(len(key), np.inf)), place.reshape(8, -1)
+
+    def fold(self) -> Level:
         d = self.depth - 1
-        key = (self.context & U((1 << 8 * d) - 1)) * U(256) + self.node
-        order = np.argsort(key, kind="stable")
-        start, children = runs(key[order])
-        n0, n1, split = (np.add.reduceat(x[order], start) for x in (self.n0, self.n1, self.weighted))
+        key, self.up, (n0, n1, split) = grouped(low_bytes(self.context, d) << U(8) | self.node, [self.n0, self.n1, self.weighted])
         pe = log_kt(n0, n1)
-        chain = (children == 1) & self.chain[order][start]
-        keep = np.empty(len(key), bool)
-        keep[order] = ~np.repeat(chain, children)
-        key = key[order][start]
-        return Nodes(d, key >> U(8), key & U(255), n0, n1, np.logaddexp(pe, split) - math.log(2), pe - split, chain), keep
+        return Level(d, key >> U(8), key & U(255), n0, n1, np.logaddexp(pe, split) - math.log(2), pe - split)
 
-    def slots(self, keep: np.ndarray, log2: int) -> pa.Table:
-        """slot, tag and what is predicted there, of the nodes kept."""
-        place, tag = slot_of(context_hash(self.depth, self.context[keep]), self.node[keep], log2)
-        n0, n1 = self.n0[keep], self.n1[keep]
-        stop = np.rint(255 / (1 + np.exp(-np.clip(self.odds[keep], -60, 60)))).astype(np.int32)
-        return pa.table({"slot": pa.array(place.astype(np.int32)), "weight": pa.array(n0 + n1), "p": pa.array(((n1 + 0.5) / (n0 + n1 + 1)).astype(np.float32)), "mark": pa.array(tag.astype(np.int32) << 8 | stop)})
+    def mixed(self, zero: np.ndarray, one: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the nodes down to these give to a zero and a one, and the weight left to deeper ones; given is that of their parents."""
+        stop = 1 / (1 + np.exp(-np.clip(self.odds, -700, 700)))
+        total = self.n0 + self.n1 + 1
+        return zero + rest * stop * (self.n0 + 0.5) / total, one + rest * stop * (self.n1 + 0.5) / total, np.where(np.isinf(self.odds), 0.0, rest * (1 - stop))
 
-    def table(self) -> pa.Table:
-        return pa.table({"context": pa.array(self.context.view(np.int64)), "node": pa.array(self.node.astype(np.int32)), "n0": self.n0, "n1": self.n1, "weighted": self.weighted, "odds": self.odds, "chain": self.chain})
 
+def grouped(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, each entry's place among them, and sums of the values."""
+    order = np.argsort(key, kind="stable")
+    start, count = runs(key[order])
+    place = np.empty(len(key), np.int64)
+    place[order] = np.repeat(np.arange(len(start)), count)
+    return key[order][start], place, [np.add.reduceat(v[order], start) if len(start) else np.zeros(0) for v in values]
 
-NODE = "context long, node int, n0 double, n1 double, weighted double, odds double, chain boolean"
-SLOT = "slot int, weight double, p float, mark int"
 
+def range_of(context: np.ndarray, n: int) -> np.ndarray:
+    return bucket_of(mix(context + U(0x9E3779B97F4A7C15)), n)
 
-def nodes_of(table: pa.Table, depth: int) -> Nodes:
-    get = lambda c: table.column(c).to_numpy()
-    return Nodes(depth, get("context").view(U), get("node").astype(U), get("n0"), get("n1"), get("weighted"), get("odds"), get("chain"))
 
+MESSAGE = "block int, bucket int, b0 binary, b1 binary, b2 binary, b3 binary"
+NODE = "bucket int, context long, node int, n0 double, n1 double, weighted double, odds double"
 
-def hashed_model(by_gram: DataFrame, depth: int, log2: int = SLOTS_LOG2) -> tuple[np.ndarray, np.ndarray]:
-    """(p, mark) by slot: the estimate of a one; the tag of the slot's node and its weight against the longer contexts.
 
-    The trees are folded in groups of the last two context bytes, then of the last one, then at the root:
-    the last two steps have 65,536 contexts at most.  A slot goes to the node that has seen most; a node
-    without a slot counts as unseen.  2**log2 slots at most come to the driver, whatever the corpus.
+def counted(rows: DataFrame, depth: int, n: int) -> DataFrame:
+    """(block, range) with a block's distinct grams and words there, and their counts in its training rows.
+
+    rows: doc_id, text, held_out, block.  b0, b1: grams and counts; b2, b3: words and counts.
     """
-    low = min(2, depth)
-
-    def fold_long(table: pa.Table) -> pa.Table:
-        level = Nodes.longest(table.column("gram").to_numpy().view(U), table.column("n").to_numpy().astype(np.float64), depth)
-        slots = []
-        while level.depth > low:
-            up, keep = level.fold()
-            slots.append(level.slots(keep, log2))
-            level = up
-        top = level.table()
-        rows = pa.concat_tables(slots) if slots else None
-        n = len(rows) if slots else 0
-        pad = lambda values, kind, after: pa.concat_arrays([pa.nulls(n if after else 0, kind), values.combine_chunks() if len(values) else pa.array([], kind), pa.nulls(0 if after else len(top), kind)])
-        columns = {c: pad(top.column(c), top.schema.field(c).type, True) for c in top.column_names}
-        kinds = (pa.int32(), pa.float64(), pa.float32(), pa.int32())
-        columns |= {c: pad(rows.column(c) if slots else pa.chunked_array([pa.array([], k)]), k, False) for c, k in zip(("slot", "weight", "p", "mark"), kinds, strict=True)}
-        return pa.table(columns)
-
-    def fold_up(d: int, last: bool):
-        def fold(table: pa.Table) -> pa.Table:
-            level = nodes_of(table, d)
-            up, keep = level.fold()
-            out = level.slots(keep, log2)
-            return pa.concat_tables([out, up.slots(np.ones(len(up.node), bool), log2)]) if last else out
-
-        return fold
-
-    def lift(d: int):
-        return lambda table: nodes_of(table, d).fold()[0].table()
-
-    last_bytes = lambda d: F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)) if d else F.lit(0)
-    folded = cut(by_gram.groupBy(last_bytes(low).alias("low")).applyInArrow(fold_long, f"{NODE}, {SLOT}"))
-    columns = ["slot", "weight", "p", "mark"]
-    slots, level = [folded.where("slot is not null").select(*columns)], folded.where("slot is null").drop(*columns)
-    for d in range(low, 0, -1):
-        group = level.groupBy(F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)).alias("low"))
-        slots.append(group.applyInArrow(fold_up(d, d == 1), SLOT))
-        if d > 1:
-            level = cut(group.applyInArrow(lift(d), NODE))
-    every = slots[0]
-    for more in slots[1:]:
-        every = every.union(more)
-    best = every.groupBy("slot").agg(F.max_by(F.struct("p", "mark"), F.struct("weight", "mark")).alias("b")).select("slot", "b.p", "b.mark").toArrow()
-    p, mark = np.zeros(1 << log2, np.float32), np.full(1 << log2, -1, np.int32)
-    at = best.column("slot").to_numpy()
-    p[at], mark[at] = best.column("p").to_numpy(), best.column("mark").to_numpy()
-    return p, mark
-
-
-def packed(p: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """Estimate and mark of each slot in one word, so that a look-up touches memory once."""
-    return p.view(np.uint32).astype(U) << U(32) | mark.view(np.uint32).astype(U)
-
-
-def log10_probability(g: np.ndarray, model: np.ndarray, depth: int) -> np.ndarray:
-    """log10 of each gram's last byte given the bytes before it: estimates of all seen depths, mixed from the longest up."""
-    log2 = len(model).bit_length() - 1
-    contexts = [context_hash(d, (g >> U(8)) & U((1 << 8 * d) - 1)) for d in range(depth + 1)]
-    symbol, total = g & U(255), np.zeros(len(g))
+    low = min(CUT, depth)
+
+    def count(table: pa.Table) -> pa.Table:
+        g, g_n, w, w_n = [], [], [], []  # in pieces, which are added up now and then
+        for batch in table.to_batches():
+            text, learns = batch.column("text"), ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            for lo, hi in slices(text, CHUNK):
+                part, own = text.slice(lo, hi - lo), learns[lo:hi]
+                for values, row in grams(part, depth):
+                    codes, distinct = pd.factorize(values)
+                    g.append(np.asarray(distinct, U))
+                    g_n.append(np.bincount(codes, own[row], len(distinct)))
+                words = Words(part, lower=True)
+                codes, distinct = pd.factorize(words.hashes)
+                w.append(np.asarray(distinct, U))
+                w_n.append(np.bincount(codes, own[words.rows], len(distinct)))
+                if len(g) >= 16:
+                    g, g_n = ([x] for x in added(g, g_n))
+                    w, w_n = ([x] for x in added(w, w_n))
+        gram, word = added(g, g_n), added(w, w_n)
+        parts = {b: x for b, x in split(range_of(low_bytes(gram[0] >> U(8), low), n), [gram[0], gram[1].astype(np.uint32)])}
+        word_parts = {b: x for b, x in split(bucket_of(word[0], n), [word[0], word[1].astype(np.uint32)])}
+        none = [np.zeros(0, U), np.zeros(0, np.uint32)]
+        buckets = sorted({*parts, *word_parts})
+        arrays = [[*parts.get(b, none), *word_parts.get(b, none)] for b in buckets]
+        block = table.column("block")[0].as_py()
+        return pa.table([pa.array([block] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), *(pa.array([a[i].tobytes() for a in arrays], pa.binary()) for i in range(4))], ["block", "bucket", "b0", "b1", "b2", "b3"])
+
+    return rows.groupBy("block").applyInArrow(count, MESSAGE)
+
+
+def folded(table: pa.Table, depth: int) -> tuple[np.ndarray, list[Level], np.ndarray]:
+    """A range's distinct grams, its levels from the longest contexts to those of CUT bytes, and the grams' leaves."""
+    gram, n = added([joined(table, 0, U)], [joined(table, 1, np.uint32)])
+    level, leaves = Level.longest(gram, n, depth)
+    levels = [level]
+    while levels[-1].depth > min(CUT, depth):
+        levels.append(levels[-1].fold())
+    return gram, levels, leaves
+
+
+def weighted_nodes(counts: DataFrame, depth: int) -> DataFrame:
+    """Nodes of contexts of CUT bytes by range: what all nodes down to them give to a zero and a one, and the weight left (zero, one, rest)."""
+    low = min(CUT, depth)
+
+    def lift(key, table):
+        top = folded(table, depth)[1][-1]
+        return pa.table({"bucket": pa.array(np.full(len(top.node), key[0].as_py(), np.int32)), "context": pa.array(top.context.view(np.int64)), "node": pa.array(top.node.astype(np.int32)), "n0": top.n0, "n1": top.n1, "weighted": top.weighted, "odds": top.odds})
+
+    levels = [cut(counts.select("bucket", "b0", "b1").groupBy("bucket").applyInArrow(lift, NODE))]
+    for d in range(low - 1, -1, -1):
+        sums = levels[-1].groupBy(low_bytes(F.col("context"), d).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("split"))
+        pe = sums.withColumn("pe", log_kt(F.col("n0"), F.col("n1")))
+        both = F.greatest("pe", "split") + F.log1p(F.exp(-F.abs(F.col("pe") - F.col("split")))) - math.log(2)
+        levels.append(cut(pe.select("context", "node", "n0", "n1", both.alias("weighted"), (F.col("pe") - F.col("split")).alias("odds"))))
+    given = None
+    for d in range(low + 1):
+        level = levels[low - d]
+        stop = 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("odds")))))
+        level = level.withColumn("stop", F.when(F.col("odds") == math.inf, 1.0).otherwise(stop)).withColumn("total", F.col("n0") + F.col("n1") + 1)
+        if given is None:
+            level = level.select("*", F.lit(0.0).alias("zero"), F.lit(0.0).alias("one"), F.lit(1.0).alias("rest"))
+        else:
+            parent = given.select(F.col("context").alias("up"), F.col("node").alias("up_node"), "zero", "one", "rest")
+            level = level.join(parent, (low_bytes(F.col("context"), d - 1) == F.col("up")) & (F.col("node") == F.col("up_node")))
+        share = F.col("rest") * F.col("stop")
+        keep = ["bucket"] if d == low else []
+        given = level.select(*keep, "context", "node", (F.col("zero") + share * (F.col("n0") + 0.5) / F.col("total")).alias("zero"), (F.col("one") + share * (F.col("n1") + 0.5) / F.col("total")).alias("one"), (F.col("rest") * (1 - F.col("stop"))).alias("rest"))
+    return given
+
+
+def mixed_log10(table: pa.Table, top: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """A range's distinct grams and log10 of each one's last byte given the bytes before it; top: its rows of weighted_nodes."""
+    gram, levels, leaves = folded(table, depth)
+    if not len(gram):
+        return gram, np.zeros(0)
+    key = top.column("context").to_numpy().view(U) << U(8) | top.column("node").to_numpy().astype(U)
+    order = np.argsort(key)
+    at = order[np.searchsorted(key[order], levels[-1].context << U(8) | levels[-1].node)]
+    given = tuple(top.column(c).to_numpy()[at] for c in ("zero", "one", "rest"))
+    for below in levels[-2::-1]:
+        given = below.mixed(*(x[below.up] for x in given))
+    symbol, total = gram & U(255), np.zeros(len(gram))
     for k in range(8):
-        node, one = U(1 << k) + (symbol >> U(8 - k)), ((symbol >> U(7 - k)) & U(1)).astype(bool)
-        p, deeper = np.full(len(g), 0.5, np.float32), np.zeros(len(g), bool)  # p: of a one
-        for d in range(depth, -1, -1):
-            at, tag = slot_of(contexts[d], node, log2)
-            both = model.take(at)
-            mark = both.astype(np.uint32).view(np.int32)
-            seen = (mark >> 8) == tag
-            weight = (mark & 255).astype(np.float32) * np.float32(1 / 255)
-            weight[~deeper] = 1
-            weight *= seen
-            p += weight * ((both >> U(32)).astype(np.uint32).view(np.float32) - p)
-            deeper |= seen
-        total += np.log10(np.where(one, p, 1 - p))
-    return total
-
-
-_CACHE: dict = {}
-
-
-def cached_log10(g: np.ndarray, model: np.ndarray, depth: int, name: str) -> np.ndarray:
-    """log10_probability of distinct grams, through a cache of fixed size that outlives a task; name: the model's."""
-    if name not in _CACHE:
-        _CACHE.clear()
-        _CACHE[name] = (np.full(1 << CACHE_LOG2, ~U(0)), np.zeros(1 << CACHE_LOG2, np.float32))
-    keys, values = _CACHE[name]
-    at = (mix(g) >> U(64 - CACHE_LOG2)).astype(np.int64)
-    out = values[at].astype(np.float64)
-    miss = np.flatnonzero(keys[at] != g)
-    if len(miss):
-        out[miss] = log10_probability(g[miss], model, depth)
-        # Two grams may meet in a slot: write the pair that stays last, key and value alike.
-        place, last = np.unique(at[miss][::-1], return_index=True)
-        stay = miss[::-1][last]
-        keys[place], values[place] = g[stay], out[stay]
-    return out
-
-
-HOME = np.dtype([("key", "u8"), ("id", "i8"), ("no_id", "?"), ("held_out", "?"), ("tokens", "i8"), ("bytes", "i8"), ("score", "f8"), ("base", "f8"), ("known", "i8")])
-NONE = np.zeros(0, U)
+        one = ((symbol >> U(7 - k)) & U(1)).astype(bool)
+        total += np.log10(np.where(one, given[1][leaves[k]], given[0][leaves[k]]))
+    return gram, total
+
+
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_bits double, bits_per_byte double"
 
 
 def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,105 +248,59 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
     the end.  base_score is the add-one word unigram of the same rows; words are split at space and
     0x09-0x0D, and each text has one end token.  A null text is empty: one end token.  A null id takes the
     fold of an empty text.  Repeated rows have equal results.  With no training rows every byte costs 8 bits
-    and every word is unknown; an empty table gives an empty result.
+    and every word is unknown; an empty table gives an empty result.  Columns of other names are not read.
     """
     c = lambda name: F.col(f"`{name}`")
-    rows = bounded(docs).select(c(id_col).cast("long").alias("doc_id"), c(text_col).cast("string").alias("text"), is_held_out(c(id_col), folds, fold).alias("held_out"))
     n = n_blocks(docs, text_col)
-    spark = docs.sparkSession
-    train = rows.where(~F.col("held_out"))
-    by_gram, by_word = counted(train, depth)
-    model = spark.sparkContext.broadcast(packed(*hashed_model(by_gram, depth)))
-    name = uuid.uuid4().hex
-    by_word = cut(by_word)
-    words, kinds = by_word.agg(F.sum("n"), F.count(F.lit(1))).first()
-    ends = train.count()
-    tokens, kinds = int(words or 0) + ends, kinds + (ends > 0)
-    common = by_word.where(F.col("n") >= max(1.0, tokens * HEAVY)).toArrow()
-    order = np.argsort(common.column("word").to_numpy().view(U))
-    heavy = spark.sparkContext.broadcast((common.column("word").to_numpy().view(U)[order], common.column("n").to_numpy()[order]))
-
-    def ship(parts, homes):
-        h, tf, key, learns = (np.concatenate(x) for x in zip(*parts, strict=True))
+    text = F.coalesce(c(text_col).cast("string"), F.lit(""))
+    block = F.pmod(F.xxhash64(c(id_col).cast("long"), text), F.lit(n)).cast("int")
+    rows = bounded(docs).select(c(id_col).cast("long").alias("doc_id"), text.alias("text"), is_held_out(c(id_col), folds, fold).alias("held_out"), block.alias("block"))
+    ends = rows.where(~F.col("held_out")).count()
+    counts = cut(counted(rows, depth, n))
+    release(docs.sparkSession)
+    top = weighted_nodes(counts, depth)
+
+    def total(table: pa.Table) -> pa.Table:
+        _, sums = added([joined(table, 2, U)], [joined(table, 3, np.uint32)])
+        return pa.table({"tokens": [int(sums.sum())], "kinds": [int((sums > 0).sum())]})
+
+    words = counts.select("bucket", "b2", "b3").groupBy("bucket").applyInArrow(total, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
+    tokens, kinds = (words[0] or 0) + ends, (words[1] or 0) + (ends > 0)
+
+    def answer(table: pa.Table, nodes: pa.Table) -> pa.Table:
+        gram, value = mixed_log10(table, nodes, depth)
+        word, sums = added([joined(table, 2, U)], [joined(table, 3, np.uint32)])
+        values, known = [], []
+        for g, w in zip(table.column("b0"), table.column("b2"), strict=True):
+            values.append(value[np.searchsorted(gram, np.frombuffer(g.as_py(), U))].tobytes())
+            known.append(sums[np.searchsorted(word, np.frombuffer(w.as_py(), U))].tobytes())
+        return pa.table({"block": table.column("block"), "b0": table.column("b0"), "b1": pa.array(values, pa.binary()), "b2": table.column("b2"), "b3": pa.array(known, pa.binary())})
+
+    answers = counts.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(answer, "block int, b0 binary, b1 binary, b2 binary, b3 binary")
+
+    def score(table: pa.Table, given: pa.Table) -> pa.Table:
+        gram, value, word, count = joined(given, 0, U), joined(given, 1, np.float64), joined(given, 2, U), joined(given, 3, np.int64)
+        g_order, w_order = np.argsort(gram), np.argsort(word)
+        gram, value, word, count = gram[g_order], value[g_order], word[w_order], count[w_order]
+        base = np.log10(count + 1.0)
         out = []
-        for b, (a, t, s, t_row) in split(bucket_of(h, n), [h, tf, key, learns]):
-            start, count = runs(s)
-            out.append((b, [a, t, s[start], t_row[start], count.astype(np.uint32), NONE]))
-        home = np.concatenate(homes)
-        out += [(b, [NONE, NONE, NONE, NONE, NONE, x]) for b, (x,) in split(bucket_of(home["key"], n), [home])]
-        return block_batch(out, 6)
-
-    def scan(batches):
-        common, counts = heavy.value
-        parts, homes, held = [], [], 0
-        for batch in batches:
-            for lo, hi in slices(batch.column("text"), SCORE_CHUNK):
-                text, ids, out = batch.column("text").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), batch.column("held_out").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-                g, g_row = grams(text, depth)
-                codes, values = pd.factorize(g)
-                home = np.zeros(len(out), HOME)
-                home["score"] = np.bincount(g_row, cached_log10(np.asarray(values, U), model.value, depth, name)[codes], len(out))
-                home["bytes"] = np.bincount(g_row, minlength=len(out))
+        for batch in table.to_batches():
+            for lo, hi in slices(batch.column("text"), CHUNK):
+                part = batch.slice(lo, hi - lo)
+                text, m = part.column("text"), hi - lo
+                score, size = np.zeros(m), np.zeros(m, np.int64)
+                for values, row in grams(text, depth):
+                    codes, distinct = pd.factorize(values)
+                    score += np.bincount(row, value[np.searchsorted(gram, np.asarray(distinct, U))][codes], m)
+                    size += np.bincount(row, minlength=m)
                 own = Words(text, lower=True)
-                h, row = own.hashes, own.rows
-                position = np.arange(len(h)) - own.first[row]
-                key = np.zeros(len(out), U)
-                np.add.at(key, row, mix(h + position.astype(U) * U(0x9E3779B97F4A7C15)))
-                home["id"], home["no_id"], home["held_out"], home["tokens"] = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), out, own.counts + 1
-                home["key"] = mix(key + mix(home["id"].view(U) * U(2) + home["no_id"].astype(U)))
-                at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-                is_common = common[at] == h if len(common) else np.zeros(len(h), bool)
-                known = counts[at[is_common]] if len(common) else np.zeros(0)
-                home["base"] = np.bincount(row[is_common], np.log10(known + 1), len(out)) + math.log10(ends + 1)
-                home["known"] = np.bincount(row[is_common], minlength=len(out)) + (ends > 0)
-                h, row = h[~is_common], row[~is_common]
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, np.int64)
-                tf = np.diff(np.r_[start, len(h)]).astype(np.uint32)
-                h, row = h[start], row[start]
-                parts.append((h, tf, home["key"][row], ~out[row]))
-                homes.append(home)
-                held += len(h)
-                if held >= HELD:
-                    yield ship(parts, homes)
-                    parts, homes, held = [], [], 0
-        if homes:
-            yield ship(parts, homes)
-
-    def add_up(table: pa.Table) -> pa.Table:
-        """Counts of the range's words over the training rows, then each row's part of its sums."""
-        h, tf, count = joined(table, 0, U), joined(table, 1, np.uint32), joined(table, 4, np.uint32)
-        key, learns = np.repeat(joined(table, 2, U), count), np.repeat(joined(table, 3, bool), count)
-        codes, values = pd.factorize(h)
-        total = np.bincount(codes, tf * learns, len(values))[codes]
-        order = np.argsort(key, kind="stable")
-        start, length = runs(key[order])
-        part = np.zeros(len(start), [("key", "u8"), ("base", "f8"), ("known", "u4")])
-        if len(start):
-            part["key"] = key[order][start]
-            part["base"] = np.add.reduceat((tf * np.log10(total + 1))[order], start)
-            part["known"] = np.add.reduceat((tf * (total > 0))[order], start)
-        rows = [(b, [x, NONE]) for b, (x,) in split(bucket_of(part["key"], n), [part])]
-        home = joined(table, 5, HOME)
-        rows += [(b, [NONE, x]) for b, (x,) in split(bucket_of(home["key"], n), [home])]
-        return pa.Table.from_batches([block_batch(rows, 2)])
-
-    def finish(table: pa.Table) -> pa.Table:
-        part, home = joined(table, 0, np.dtype([("key", "u8"), ("base", "f8"), ("known", "u4")])), joined(table, 1, HOME)
-        keys, inverse, times = np.unique(home["key"], return_inverse=True, return_counts=True)
-        at = np.searchsorted(keys, part["key"])
-        # Rows of one key have the same id and words; each of them has sent all its words.
-        base = np.bincount(at, part["base"], len(keys)) / times
-        known = np.bincount(at, part["known"], len(keys)) / times
-        base = home["base"] + base[inverse] - home["tokens"] * math.log10(tokens + kinds + 1)
-        bits = -home["score"] / math.log10(2)
-        return pa.table({
-            "doc_id": pa.array(home["id"], pa.int64(), mask=home["no_id"].copy()), "held_out": pa.array(home["held_out"].copy()), "n_tokens": pa.array(home["tokens"].copy()),
-            "n_known": pa.array((home["known"] + np.rint(known[inverse])).astype(np.int64)), "train_tokens": pa.array(np.full(len(home), tokens, np.int64)),
-            "base_score": pa.array(base), "score": pa.array(home["score"].copy()), "code_bits": pa.array(bits), "bits_per_byte": pa.array(bits / home["bytes"]),
-        })
-
-    entries = rows.mapInArrow(scan, block_schema(6))
-    parts = per_bucket(entries, add_up, block_schema(2))
-    return per_bucket(parts, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_bits double, bits_per_byte double")
+                at = np.searchsorted(word, own.hashes)
+                n_tokens = own.counts + 1
+                bits = -score / math.log10(2)
+                out.append(pa.record_batch([
+                    part.column("doc_id"), part.column("held_out"), pa.array(n_tokens), pa.array(np.bincount(own.rows[count[at] > 0], minlength=m) + int(ends > 0)), pa.array(np.full(m, tokens, np.int64)),
+                    pa.array(np.bincount(own.rows, base[at], m) + math.log10(ends + 1) - n_tokens * math.log10(tokens + kinds + 1)), pa.array(score), pa.array(bits), pa.array(bits / size),
+                ], [x.split()[0] for x in RESULT.split(", ")]))
+        return pa.Table.from_batches(out)
+
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, RESULT)

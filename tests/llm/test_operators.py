@@ -1,6 +1,7 @@
 """Operators against brute force on a small corpus with nulls, empty and long texts, ties and repeated rows."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -162,54 +163,105 @@ def test_context_tree_counts_and_base(spark, corpus):
     assert score_documents(corpus["empty"], depth=3).count() == 0
 
 
-def test_context_tree_is_context_tree_weighting(spark):
-    """Probabilities of the hashed, pruned model against a plain recursion over all nodes."""
-    from docloom.llm import context_tree as C
-
-    depth, text = 2, "abracadabra abracadabra cab"
-    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    by_gram, _ = C.counted(docs, depth)
-    data = [0] * depth + list(text.encode()) + [0]
+def plain_context_tree(counts, depth):
+    """log10 of a byte after `depth` bytes, straight from the definition; counts: {(context bytes, byte): times}."""
     nodes = collections.defaultdict(lambda: [0, 0])
-    for i in range(depth, len(data)):
-        node = 1
+    for (context, byte), times in counts.items():
         for k in range(7, -1, -1):
-            bit = data[i] >> k & 1
             for d in range(depth + 1):
-                nodes[tuple(data[i - d : i]), node][bit] += 1
-            node = node * 2 + bit
-    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+                nodes[context[depth - d :], 1 << (7 - k) | byte >> (k + 1)][byte >> k & 1] += times
+    below = collections.defaultdict(list)
+    for context, node in nodes:
+        if context:
+            below[context[1:], node].append(context)
 
+    @functools.cache
     def weighted(context, node):
-        pe = kt(*nodes[context, node])
+        """ln Pw, and the weight of the node's own estimate against its children's."""
+        a, b = nodes.get((context, node), (0, 0))
+        pe = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
         if len(context) == depth:
             return pe, 1.0
-        split = sum(weighted(c, n)[0] for c, n in list(nodes) if n == node and len(c) == len(context) + 1 and c[1:] == context)
-        return np.logaddexp(pe, split) - math.log(2), 1 / (1 + math.exp(split - pe))
+        split = sum(weighted(c, node)[0] for c in below[context, node])
+        return np.logaddexp(pe, split) - math.log(2), 1 / (1 + math.exp(min(700, split - pe)))
 
-    def probability(history, byte):
-        total, node = 0.0, 1
+    def probability(context, byte):
+        total = 0.0
         for k in range(7, -1, -1):
-            bit, p, deeper = byte >> k & 1, 0.5, False
+            node, bit, p = 1 << (7 - k) | byte >> (k + 1), byte >> k & 1, 0.5
             for d in range(depth, -1, -1):
-                context = tuple(history[len(history) - d :])
-                if (context, node) in nodes:
-                    a, b = nodes[context, node]
-                    own = ((a, b)[bit] + 0.5) / (a + b + 1)
-                    stop = weighted(context, node)[1]
-                    p, deeper = (stop * own + (1 - stop) * p if deeper else own), True
+                own = nodes.get((context[depth - d :], node), (0, 0))
+                stop = weighted(context[depth - d :], node)[1]
+                p = stop * (own[bit] + 0.5) / (sum(own) + 1) + (1 - stop) * p
             total += math.log10(p)
-            node = node * 2 + bit
         return total
 
-    model = C.packed(*C.hashed_model(by_gram, depth, 18))
-    for other in (text, "cadabra bar", "xyz"):
-        stream = [0] * depth + list(other.encode()) + [0]
-        expected = sum(probability(stream[i - depth : i], stream[i]) for i in range(depth, len(stream)))
-        import pyarrow as pa
+    return probability
+
+
+def byte_counts(texts, depth):
+    counts = collections.Counter()
+    for text in texts:
+        data = bytes(depth) + (text or "").translate(LOWER).encode() + b"\0"
+        counts.update((data[i - depth : i], data[i]) for i in range(depth, len(data)))
+    return counts
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 5])
+def test_context_tree_is_context_tree_weighting(spark, depth):
+    from docloom.llm.context_tree import score_documents
+
+    rng = random.Random(depth)
+    texts = ["abracadabra Abracadabra cab", "", None, "zebra \u00e9t\u00e9", *("".join(rng.choice("abcd r\n") for _ in range(rng.randrange(60))) for _ in range(40))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    plain = plain_context_tree(byte_counts([t for i, t in enumerate(texts) if not held(i)], depth), depth)
+    got = {r["doc_id"]: r["score"] for r in score_documents(docs, depth=depth).collect()}
+    assert any(map(held, got)) and len(got) == len(texts)
+    for i, text in enumerate(texts):
+        expected = sum(n * plain(*gram) for gram, n in byte_counts([text], depth).items())
+        assert abs(got[i] - expected) < 1e-6 * max(1, abs(expected))
+
+
+def test_context_tree_with_huge_counts_and_no_training_rows(spark):
+    """Counts of 1e8 leave every probability above zero; no node is lost."""
+    from docloom.llm import context_tree as C
+
+    depth = 5
+    counts = {(b"aaaaa", 97): 10**8, (b"aaaab", 97): 3, (b"abaaa", 98): 10**8, (b"xyaaa", 98): 7, (b"aaaaa", 120): 0, (b"qqqqq", 0): 0}
+    code = lambda context, byte: sum(b << 8 * j for j, b in enumerate([byte, *context[::-1]]))
+    g = np.array(sorted(code(*k) for k in counts), np.uint64)
+    n = np.array([{code(*k): v for k, v in counts.items()}[x] for x in g.tolist()], np.uint32)
+    bucket = C.range_of(C.low_bytes(g >> np.uint64(8), C.CUT), 2)
+    rows = [(0, b, g[bucket == b].tobytes(), n[bucket == b].tobytes(), b"", b"") for b in (0, 1)]
+    messages = spark.createDataFrame([tuple(map(lambda x: bytearray(x) if isinstance(x, bytes) else x, r)) for r in rows], C.MESSAGE)
+
+    def value(table, top):
+        gram, out = C.mixed_log10(table, top, depth)
+        return __import__("pyarrow").table({"gram": gram.view(np.int64), "value": out})
+
+    got = {r["gram"]: r["value"] for r in messages.groupBy("bucket").cogroup(C.weighted_nodes(messages, depth).groupBy("bucket")).applyInArrow(value, "gram long, value double").collect()}
+    plain = plain_context_tree(counts, depth)
+    for key in counts:
+        expected = plain(*key)
+        assert math.isfinite(expected) and abs(got[code(*key)] - expected) < 1e-6 * max(1, abs(expected))
+    docs = spark.createDataFrame([(1, "abc"), (1, "abc"), (None, None)], "doc_id long, text string")
+    out = C.score_documents(docs.where("doc_id is null or doc_id > 1"), folds=1, fold=0).collect()  # all held out
+    assert [(r["n_known"], r["train_tokens"], round(r["bits_per_byte"], 9)) for r in out] == [(0, 0, 8.0)]
+
+
+def test_grams_of_a_long_text_come_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from docloom.llm import context_tree as C
 
-        got = C.log10_probability(C.grams(pa.array([other]), depth)[0], model, depth).sum()
-        assert abs(got - expected) < 0.02 * abs(expected)
+    texts = pa.array(["AbC" * 50, None, "x"])
+    whole = [np.concatenate(x) for x in zip(*C.grams(texts, 5), strict=True)]
+    monkeypatch.setattr(C, "CHUNK", 7)
+    parts = [np.concatenate(x) for x in zip(*C.grams(texts, 5), strict=True)]
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts, strict=True))
+    assert np.bincount(whole[1]).tolist() == [151, 1, 2]
+    assert whole[0][3] == int.from_bytes(b"acba"[0:1] + b"cba" + b"\0\0", "little")
 
 
 # ---- 3 rollups
