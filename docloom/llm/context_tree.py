@@ -36,18 +36,15 @@ DEPTH = 5
 CUT = 3
 #: Bytes of text whose grams are looked at together.
 CHUNK = 1 << 20
-
-
-def low_bytes(context, n: int):
-    """The nearest n bytes of contexts (a Column or an array)."""
-    mask = (1 << 8 * n) - 1
-    return context.bitwiseAND(F.lit(mask)) if isinstance(context, Column) else context & U(mask)
+ZSTD = pa.Codec("zstd", 1)
+NONE = np.zeros(0, U)
 
 
 def grams(column: pa.Array, depth: int):
     """Pieces (grams, rows): each byte of each lower-cased text and a final 0 byte, with the `depth` bytes before it.
 
-    The newest byte is the lowest; before a text stand zeros.  A text of any length comes in several pieces.
+    The byte is the lowest of its gram, the one next before it the highest, and so on; before a text stand zeros.
+    A text of any length comes in several pieces.
     """
     data, offsets = string_bytes(column)
     n = len(offsets) - 1
@@ -56,9 +53,9 @@ def grams(column: pa.Array, depth: int):
     padded[np.arange(len(data)) + np.repeat(np.arange(n) * (depth + 1) + depth, np.diff(offsets))] = LOWER[data]
     for lo in range(depth, len(padded), CHUNK):
         hi = min(len(padded), lo + CHUNK)
-        out = np.zeros(hi - lo, U)
-        for j in range(depth + 1):
-            out |= padded[lo - j : hi - j].astype(U) << U(8 * j)
+        out = padded[lo:hi].astype(U)
+        for j in range(1, depth + 1):
+            out |= padded[lo - j : hi - j].astype(U) << U(8 * (depth + 1 - j))
         row = np.searchsorted(begin, np.arange(lo, hi), side="right") - 1
         real = np.arange(lo, hi) - begin[row] >= depth
         yield out[real], row[real]
@@ -94,7 +91,7 @@ def log_kt(n0, n1):
 
 
 class Level:
-    """Tree nodes of one depth: context, decision node, counts and ln Pw; odds: ln(Pe / product of the children's Pw).
+    """Tree nodes of one depth: context (the nearest byte highest), decision node, counts and ln Pw; odds: ln(Pe / product of the children's Pw).
 
     up: each node's parent in the level above.
     """
@@ -115,7 +112,7 @@ class Level:
 
     def fold(self) -> Level:
         d = self.depth - 1
-        key, self.up, (n0, n1, split) = grouped(low_bytes(self.context, d) << U(8) | self.node, [self.n0, self.n1, self.weighted])
+        key, self.up, (n0, n1, split) = grouped(self.context >> U(8) << U(8) | self.node, [self.n0, self.n1, self.weighted])
         pe = log_kt(n0, n1)
         return Level(d, key >> U(8), key & U(255), n0, n1, np.logaddexp(pe, split) - math.log(2), pe - split)
 
@@ -135,6 +132,24 @@ def grouped(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return key[order][start], place, [np.add.reduceat(v[order], start) if len(start) else np.zeros(0) for v in values]
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Ascending integers as bytes: their steps, byte by byte of the same weight, compressed."""
+    steps = np.diff(values, prepend=U(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + ZSTD.compress(planes, asbytes=True)
+
+
+def loosened(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(ZSTD.decompress(data[8:], 8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(U).ravel(), dtype=U)
+
+
+def integers(table: pa.Table, i: int) -> list[np.ndarray]:
+    """The squeezed arrays of a column."""
+    return [loosened(x.as_py()) for x in table.column(f"b{i}")]
+
+
 def range_of(context: np.ndarray, n: int) -> np.ndarray:
     return bucket_of(mix(context + U(0x9E3779B97F4A7C15)), n)
 
@@ -146,7 +161,7 @@ NODE = "bucket int, context long, node int, n0 double, n1 double, weighted doubl
 def counted(rows: DataFrame, depth: int, n: int) -> DataFrame:
     """(block, range) with a block's distinct grams and words there, and their counts in its training rows.
 
-    rows: doc_id, text, held_out, block.  b0, b1: grams and counts; b2, b3: words and counts.
+    rows: doc_id, text, held_out, block.  b0, b1: grams (squeezed) and counts; b2, b3: words and counts.
     """
     low = min(CUT, depth)
 
@@ -168,20 +183,20 @@ def counted(rows: DataFrame, depth: int, n: int) -> DataFrame:
                     g, g_n = ([x] for x in added(g, g_n))
                     w, w_n = ([x] for x in added(w, w_n))
         gram, word = added(g, g_n), added(w, w_n)
-        parts = {b: x for b, x in split(range_of(low_bytes(gram[0] >> U(8), low), n), [gram[0], gram[1].astype(np.uint32)])}
+        parts = {b: x for b, x in split(range_of(gram[0] >> U(8 * (depth - low + 1)), n), [gram[0], gram[1].astype(np.uint32)])}
         word_parts = {b: x for b, x in split(bucket_of(word[0], n), [word[0], word[1].astype(np.uint32)])}
-        none = [np.zeros(0, U), np.zeros(0, np.uint32)]
+        none = [NONE, np.zeros(0, np.uint32)]
         buckets = sorted({*parts, *word_parts})
         arrays = [[*parts.get(b, none), *word_parts.get(b, none)] for b in buckets]
         block = table.column("block")[0].as_py()
-        return pa.table([pa.array([block] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), *(pa.array([a[i].tobytes() for a in arrays], pa.binary()) for i in range(4))], ["block", "bucket", "b0", "b1", "b2", "b3"])
+        return pa.table([pa.array([block] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), *(pa.array([squeezed(a[i]) if i % 2 == 0 else a[i].tobytes() for a in arrays], pa.binary()) for i in range(4))], ["block", "bucket", "b0", "b1", "b2", "b3"])
 
     return rows.groupBy("block").applyInArrow(count, MESSAGE)
 
 
 def folded(table: pa.Table, depth: int) -> tuple[np.ndarray, list[Level], np.ndarray]:
     """A range's distinct grams, its levels from the longest contexts to those of CUT bytes, and the grams' leaves."""
-    gram, n = added([joined(table, 0, U)], [joined(table, 1, np.uint32)])
+    gram, n = added(integers(table, 0), [joined(table, 1, np.uint32)])
     level, leaves = Level.longest(gram, n, depth)
     levels = [level]
     while levels[-1].depth > min(CUT, depth):
@@ -199,7 +214,7 @@ def weighted_nodes(counts: DataFrame, depth: int) -> DataFrame:
 
     levels = [cut(counts.select("bucket", "b0", "b1").groupBy("bucket").applyInArrow(lift, NODE))]
     for d in range(low - 1, -1, -1):
-        sums = levels[-1].groupBy(low_bytes(F.col("context"), d).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("split"))
+        sums = levels[-1].groupBy(F.shiftrightunsigned("context", 8).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("split"))
         pe = sums.withColumn("pe", log_kt(F.col("n0"), F.col("n1")))
         both = F.greatest("pe", "split") + F.log1p(F.exp(-F.abs(F.col("pe") - F.col("split")))) - math.log(2)
         levels.append(cut(pe.select("context", "node", "n0", "n1", both.alias("weighted"), (F.col("pe") - F.col("split")).alias("odds"))))
@@ -212,7 +227,7 @@ def weighted_nodes(counts: DataFrame, depth: int) -> DataFrame:
             level = level.select("*", F.lit(0.0).alias("zero"), F.lit(0.0).alias("one"), F.lit(1.0).alias("rest"))
         else:
             parent = given.select(F.col("context").alias("up"), F.col("node").alias("up_node"), "zero", "one", "rest")
-            level = level.join(parent, (low_bytes(F.col("context"), d - 1) == F.col("up")) & (F.col("node") == F.col("up_node")))
+            level = level.join(parent, (F.shiftrightunsigned(level["context"], 8) == F.col("up")) & (F.col("node") == F.col("up_node")))
         share = F.col("rest") * F.col("stop")
         keep = ["bucket"] if d == low else []
         given = level.select(*keep, "context", "node", (F.col("zero") + share * (F.col("n0") + 0.5) / F.col("total")).alias("zero"), (F.col("one") + share * (F.col("n1") + 0.5) / F.col("total")).alias("one"), (F.col("rest") * (1 - F.col("stop"))).alias("rest"))
@@ -258,10 +273,11 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
     ends = rows.where(~F.col("held_out")).count()
     counts = cut(counted(rows, depth, n))
     release(docs.sparkSession)
-    top = weighted_nodes(counts, depth)
+    top = cut(weighted_nodes(counts, depth))
+    release(docs.sparkSession)
 
     def total(table: pa.Table) -> pa.Table:
-        _, sums = added([joined(table, 2, U)], [joined(table, 3, np.uint32)])
+        _, sums = added(integers(table, 2), [joined(table, 3, np.uint32)])
         return pa.table({"tokens": [int(sums.sum())], "kinds": [int((sums > 0).sum())]})
 
     words = counts.select("bucket", "b2", "b3").groupBy("bucket").applyInArrow(total, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
@@ -269,17 +285,18 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
 
     def answer(table: pa.Table, nodes: pa.Table) -> pa.Table:
         gram, value = mixed_log10(table, nodes, depth)
-        word, sums = added([joined(table, 2, U)], [joined(table, 3, np.uint32)])
+        word, sums = added(integers(table, 2), [joined(table, 3, np.uint32)])
         values, known = [], []
-        for g, w in zip(table.column("b0"), table.column("b2"), strict=True):
-            values.append(value[np.searchsorted(gram, np.frombuffer(g.as_py(), U))].tobytes())
-            known.append(sums[np.searchsorted(word, np.frombuffer(w.as_py(), U))].tobytes())
+        for g, w in zip(integers(table, 0), integers(table, 2), strict=True):
+            values.append(value[np.searchsorted(gram, g)].astype(np.float32).tobytes())
+            known.append(sums[np.searchsorted(word, w)].tobytes())
         return pa.table({"block": table.column("block"), "b0": table.column("b0"), "b1": pa.array(values, pa.binary()), "b2": table.column("b2"), "b3": pa.array(known, pa.binary())})
 
     answers = counts.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(answer, "block int, b0 binary, b1 binary, b2 binary, b3 binary")
 
     def score(table: pa.Table, given: pa.Table) -> pa.Table:
-        gram, value, word, count = joined(given, 0, U), joined(given, 1, np.float64), joined(given, 2, U), joined(given, 3, np.int64)
+        gram, word = (np.concatenate([NONE, *integers(given, i)]) for i in (0, 2))
+        value, count = joined(given, 1, np.float32).astype(np.float64), joined(given, 3, np.int64)
         g_order, w_order = np.argsort(gram), np.argsort(word)
         gram, value, word, count = gram[g_order], value[g_order], word[w_order], count[w_order]
         base = np.log10(count + 1.0)
