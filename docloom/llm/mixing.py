@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: The remaining budget, in units, with which the dynamic programme starts (twice the largest length if that
-#: is more); a greedy pass goes down to it.  While the fit misses the budget, it grows, up to MOST units.
+#: The dynamic programme starts with half of so many units of the budget (twice the largest length if that is
+#: more), after a fill in proportion.  While the fit misses the budget, this grows, up to MOST units.
 CAPACITY, MOST = 1 << 15, 1 << 24
 #: Parts of a length group that are ranked apart, so that no group is ranked in one task.
 PARTS = 256
@@ -50,18 +50,25 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int
     return best
 
 
+def in_proportion(sizes: np.ndarray, counts: np.ndarray, words: float, seed: int) -> np.ndarray:
+    """The same share of every size's copies, in whole copies that add up to `words` but for the largest size.
+
+    What rounding leaves over or adds is carried to the next size, so rare sizes get their share between them.
+    """
+    order = np.argsort(sizes)
+    share = words / float((sizes * counts).sum())
+    take, carry = np.zeros(len(sizes), np.int64), float(np.random.default_rng(seed).random() - 0.5) * float(sizes.min())
+    for k in order.tolist():
+        want = counts[k] * share + carry / sizes[k]
+        take[k] = min(max(int(np.floor(want + 0.5)), 0), counts[k])
+        carry = (want - take[k]) * sizes[k]
+    return take
+
+
 def _fit(sizes: np.ndarray, counts: np.ndarray, budget: int, capacity: int, seed: int) -> tuple[np.ndarray, int]:
     """The copies of each size, and what of the budget they miss; capacity: twice the largest size at least."""
-    total = int((sizes * counts).sum())
-    take = np.floor(counts * (max(0, budget - capacity // 2) / total)).astype(np.int64) if budget > capacity else np.zeros(len(sizes), np.int64)
+    take = in_proportion(sizes, counts, budget - capacity / 2, seed) if budget > capacity else np.zeros(len(sizes), np.int64)
     left = budget - int((sizes * take).sum())
-    for k in np.argsort(-sizes):  # down to what the dynamic programme holds
-        if left <= capacity:
-            break
-        n = int(min(counts[k] - take[k], (left - capacity // 2) // sizes[k]))
-        if n > 0:
-            take[k] += n
-            left -= n * int(sizes[k])
     order = np.random.default_rng(seed).permutation(len(sizes))  # no length comes first for its size
     take[order] += knapsack(sizes[order], (counts - take)[order], left)
     return take, budget - int((sizes * take).sum())

@@ -2,13 +2,16 @@
 
 A ledger in a folder takes batches of changes: documents inserted, deleted or revised.  A batch becomes
 signed rows (a revision is a minus and a plus), which are added up by source, language and tokenizer
-version and written to the batch's own folder; totals are the sum over batches, so they are additive and
-a batch that is committed again replaces itself.  Counts of single documents are kept beside the totals,
-as deletes and revisions need the old ones.
+version; totals are the sum over batches, so they are additive.  Counts of single documents are kept
+beside the totals, as deletes and revisions need the old ones; compaction replaces old batches by what
+they add up to, so a commit reads the documents held and not the whole history.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,54 +38,98 @@ def counted(docs: DataFrame, tokenizers=None, id_col: str = "doc_id", source_col
 class Ledger:
     """The rollup kept in a folder that all executors share.
 
-    commit() is idempotent: each batch id has one folder, which a repeated commit overwrites with the same
-    rows; a batch that broke off half-way leaves no success mark and is not read.  Null sources and
-    languages are groups of their own.  Changes of ids the ledger doesn't hold are no changes when they
-    delete, and inserts when they revise.  Rows repeated within a batch count once each.
+    A batch is written to a folder of its own and counts from the moment its mark is there, which is one
+    empty file created after all of its rows; a batch that breaks off leaves no mark and is written anew.
+    Committing a batch id again changes nothing.
+
+    Each id is held once: an insert of a held id revises it, a revision of an id not held inserts it, a
+    delete of an id not held is no change; within a batch deletes come first.  Of several rows of one id in
+    a batch the one with most characters counts (then the largest source, language and tokens).  Rows
+    without an id are documents that nothing can name again: each insert adds them, and deletes and
+    revisions of a null id are no changes.  Null sources and languages are groups of their own.  Columns
+    other than those of counted() are not read.
     """
 
+    #: Batches that pile up before a commit compacts those before it.
+    COMPACT = 32
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _read(self, kind: str, before: str | None = None) -> DataFrame | None:
-        """Rows of all committed batches, or of those before one."""
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
-        done = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(root, f"{n}/_SUCCESS")) and (before is None or n < f"batch={before}")]
-        return self.spark.read.parquet(*(f"{self.folder}/{kind}/{n}" for n in done)) if done else None
-
-    def commit(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> None:
-        """Commit a batch; batch ids ascend.  inserts, revisions: rows of counted(); deletes: doc_id."""
-        old = self._read("documents", batch)
-        parts = [df for df in (inserts, revisions) if df is not None]
-        gone = [df.select("doc_id") for df in (deletes, revisions) if df is not None]
-        if old is not None and gone:
-            ids = gone[0]
-            for more in gone[1:]:
-                ids = ids.union(more)
-            now = old.join(ids.distinct(), "doc_id", "left_semi").groupBy("doc_id", *GROUP).agg(*(F.sum(c).alias(c) for c in COUNTS)).where("n_docs > 0")
-            parts.append(now.select("doc_id", *GROUP, *((-F.col(c)).alias(c) for c in COUNTS)))
-        if not parts:
-            return
-        signed = parts[0].select("doc_id", *GROUP, *COUNTS)
-        for more in parts[1:]:
-            signed = signed.union(more.select(*signed.columns))
-        signed.write.mode("overwrite").parquet(f"{self.folder}/documents/batch={batch}")
-        written = self.spark.read.parquet(f"{self.folder}/documents/batch={batch}")
-        written.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in COUNTS)).write.mode("overwrite").parquet(f"{self.folder}/totals/batch={batch}")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _marked(self, kind: str) -> dict[str, str]:
+        """Folder of each batch with a mark; if two writers have marked one, the first name counts."""
+        root = self._path(f"{self.folder}/{kind}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return dict(sorted(((n.rsplit("@", 1)[0], f"{self.folder}/data/{n}") for n in names), reverse=True))
+
+    def _mark(self, kind: str, name: str) -> None:
+        self._fs.create(self._path(f"{self.folder}/{kind}/{name}")).close()
+
+    def _rows(self, kind: str, before: str | None = None) -> DataFrame | None:
+        """Signed rows (documents or totals) of the committed batches, or of those before one: the last compaction and what came after."""
+        inside = lambda batch: before is None or batch < before
+        compacted = {b: f for b, f in self._marked("compactions").items() if inside(b)}
+        last = max(compacted, default="")
+        folders = [f for b, f in self._marked("commits").items() if inside(b) and b > last] + ([compacted[last]] if compacted else [])
+        return self.spark.read.parquet(*(f"{f}/{kind}" for f in folders)) if folders else None
+
+    def commit(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revisions: DataFrame | None = None) -> bool:
+        """Commit a batch; False if it was committed before.  Batch ids ascend.  inserts, revisions: rows of counted(); deletes: doc_id."""
+        committed = self._marked("commits")
+        if batch in committed:
+            return False
+        if sum(b > max(self._marked("compactions"), default="") for b in committed) >= self.COMPACT:
+            self.compact()
+        columns = ("doc_id", *GROUP, *COUNTS)
+        named = [df.where("doc_id is not null").select(*columns) for df in (inserts, revisions) if df is not None]
+        gone = [df.select("doc_id") for df in (*named, *([deletes] if deletes is not None else []))]
+        signed = []
+        if named:
+            best = F.max_by(F.struct(*GROUP, *COUNTS), F.struct("n_chars", "source", "lang", "n_tokens")).alias("r")
+            signed.append(_union(named).groupBy("doc_id", F.col("tokenizer").alias("_version")).agg(best).select("doc_id", "r.*"))
+        if inserts is not None:
+            signed.append(inserts.where("doc_id is null").select(*columns))
+        held = self._rows("documents", batch)
+        if held is not None and gone:
+            now = held.join(_union(gone).distinct(), "doc_id", "left_semi").groupBy("doc_id", *GROUP).agg(*(F.sum(c).alias(c) for c in COUNTS)).where("n_docs <> 0")
+            signed.append(now.select("doc_id", *GROUP, *((-F.col(c)).alias(c) for c in COUNTS)))
+        if not signed:  # deletes from an empty ledger
+            signed = [self.spark.createDataFrame([], DOCUMENTS)]
+        self._write("commits", batch, _union(signed))
+        return True
+
+    def compact(self) -> None:
+        """Replace what the committed batches hold by its sum, for later reads."""
+        committed = self._marked("commits")
+        if committed and max(committed) not in self._marked("compactions"):
+            self._write("compactions", max(committed), self._rows("documents").groupBy("doc_id", *GROUP).agg(*(F.sum(c).alias(c) for c in COUNTS)).where("n_docs <> 0"))
+
+    def _write(self, kind: str, batch: str, signed: DataFrame) -> None:
+        name = f"{batch}@{uuid.uuid4().hex}"
+        signed.write.parquet(f"{self.folder}/data/{name}/documents")
+        written = self.spark.read.parquet(f"{self.folder}/data/{name}/documents")
+        written.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in COUNTS)).write.parquet(f"{self.folder}/data/{name}/totals")
+        self._mark(kind, name)
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens, n_chars over all committed batches; groups that came to nothing are left out."""
-        rows = self._read("totals")
+        rows = self._rows("totals")
         if rows is None:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
+            return self.spark.createDataFrame([], DOCUMENTS).drop("doc_id")
         return rows.groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in COUNTS)).where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
     def documents(self) -> DataFrame:
-        """The documents that the ledger holds now, with their counts."""
-        rows = self._read("documents")
+        """The documents that the ledger holds now, with their counts; those without an id are added up by group."""
+        rows = self._rows("documents")
         if rows is None:
-            return self.spark.createDataFrame([], "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
+            return self.spark.createDataFrame([], DOCUMENTS)
         return rows.groupBy("doc_id", *GROUP).agg(*(F.sum(c).alias(c) for c in COUNTS)).where("n_docs <> 0")
+
+
+DOCUMENTS = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long"
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
