@@ -1,16 +1,15 @@
 """Spark plumbing shared by the corpus operators.
 
 Hash statistics of a corpus have billions of tiny entries.  A task therefore packs the entries that
-go to the same hash range into one binary row per array ("block"); Spark shuffles the rows by range
-and a task of the next stage reads one range at a time.  A range holds about `BLOCK_CHARS` characters'
-worth of entries whatever the size of the input, as the number of ranges follows the input.
+go to the same hash range into one binary row per array; Spark shuffles the rows by range and a task of the
+next stage reads one range at a time.  Documents come to such a task in blocks of about `BLOCK_CHARS`
+characters (`dealt`), and a block sends each distinct hash once: however many documents have it, a range
+gets one entry a block, and answers that one.  The numbers of ranges and blocks follow the input.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,20 +17,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.scratch import scratch, shared_root
+
 #: Characters of text for which one range of hashes is kept.
 BLOCK_CHARS = 24_000_000
 #: Entries that a task holds before it ships them.
 FLUSH = 2_000_000
 #: Bytes of an Arrow batch that goes to Python; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
+ZSTD = pa.Codec("zstd", 1)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir; only where it is unset, in a folder of our own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-"))
+    """Checkpoint in the shared folder."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
@@ -62,10 +61,7 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for tables that an operator writes."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docloom-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,6 +112,32 @@ def joined(table: pa.Table, i: int, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column(f"b{i}")), kind)
 
 
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers as compressed bytes, those of the same weight side by side; of ascending ones the steps."""
+    own = values.astype(np.uint64)
+    own = np.diff(own, prepend=np.uint64(0)) if ascending else own
+    planes = np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8).T)
+    return len(own).to_bytes(8, "little") + ZSTD.compress(planes, asbytes=True)
+
+
+def unpacked(data: bytes, ascending: bool = False) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(ZSTD.decompress(data[8:], 8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    own = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(own, dtype=np.uint64) if ascending else own
+
+
+def integers(table: pa.Table, i: int, ascending: bool = False) -> list[np.ndarray]:
+    """The packed arrays of a column."""
+    return [unpacked(x.as_py(), ascending) for x in table.column(f"b{i}")]
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """doc_id, text (null: empty) and block of each row: n blocks by a hash of id and text, so a row has the same block whenever it is asked for."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", text.alias("text"), F.pmod(F.xxhash64("doc_id", text), F.lit(n)).cast("int").alias("block"))
+
+
 def per_bucket(blocks: DataFrame, fn, schema: str) -> DataFrame:
     """fn(Table) -> Table for each hash range."""
     return blocks.groupBy("bucket").applyInArrow(fn, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import bounded, bucket_of, cut, joined, n_blocks, release, runs, split
+from docloom.llm.blocks import bounded, bucket_of, cut, integers, joined, n_blocks, packed, release, runs, split
 from docloom.llm.tokens import LOWER, U, Words, mix, slices, string_bytes
 
 #: Context bytes of the longest contexts; 1 to 7.
@@ -36,7 +36,6 @@ DEPTH = 5
 CUT = 3
 #: Bytes of text whose grams are looked at together.
 CHUNK = 1 << 20
-ZSTD = pa.Codec("zstd", 1)
 NONE = np.zeros(0, U)
 
 
@@ -132,24 +131,6 @@ def grouped(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return key[order][start], place, [np.add.reduceat(v[order], start) if len(start) else np.zeros(0) for v in values]
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    """Ascending integers as bytes: their steps, byte by byte of the same weight, compressed."""
-    steps = np.diff(values, prepend=U(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    return len(values).to_bytes(8, "little") + ZSTD.compress(planes, asbytes=True)
-
-
-def loosened(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(ZSTD.decompress(data[8:], 8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(U).ravel(), dtype=U)
-
-
-def integers(table: pa.Table, i: int) -> list[np.ndarray]:
-    """The squeezed arrays of a column."""
-    return [loosened(x.as_py()) for x in table.column(f"b{i}")]
-
-
 def range_of(context: np.ndarray, n: int) -> np.ndarray:
     return bucket_of(mix(context + U(0x9E3779B97F4A7C15)), n)
 
@@ -161,7 +142,7 @@ NODE = "bucket int, context long, node int, n0 double, n1 double, weighted doubl
 def counted(rows: DataFrame, depth: int, n: int) -> DataFrame:
     """(block, range) with a block's distinct grams and words there, and their counts in its training rows.
 
-    rows: doc_id, text, held_out, block.  b0, b1: grams (squeezed) and counts; b2, b3: words and counts.
+    rows: doc_id, text, held_out, block.  b0, b1: grams (packed) and counts; b2, b3: words and counts.
     """
     low = min(CUT, depth)
 
@@ -189,14 +170,14 @@ def counted(rows: DataFrame, depth: int, n: int) -> DataFrame:
         buckets = sorted({*parts, *word_parts})
         arrays = [[*parts.get(b, none), *word_parts.get(b, none)] for b in buckets]
         block = table.column("block")[0].as_py()
-        return pa.table([pa.array([block] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), *(pa.array([squeezed(a[i]) if i % 2 == 0 else a[i].tobytes() for a in arrays], pa.binary()) for i in range(4))], ["block", "bucket", "b0", "b1", "b2", "b3"])
+        return pa.table([pa.array([block] * len(buckets), pa.int32()), pa.array(buckets, pa.int32()), *(pa.array([packed(a[i], ascending=True) if i % 2 == 0 else a[i].tobytes() for a in arrays], pa.binary()) for i in range(4))], ["block", "bucket", "b0", "b1", "b2", "b3"])
 
     return rows.groupBy("block").applyInArrow(count, MESSAGE)
 
 
 def folded(table: pa.Table, depth: int) -> tuple[np.ndarray, list[Level], np.ndarray]:
     """A range's distinct grams, its levels from the longest contexts to those of CUT bytes, and the grams' leaves."""
-    gram, n = added(integers(table, 0), [joined(table, 1, np.uint32)])
+    gram, n = added(integers(table, 0, True), [joined(table, 1, np.uint32)])
     level, leaves = Level.longest(gram, n, depth)
     levels = [level]
     while levels[-1].depth > min(CUT, depth):
@@ -277,7 +258,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
     release(docs.sparkSession)
 
     def total(table: pa.Table) -> pa.Table:
-        _, sums = added(integers(table, 2), [joined(table, 3, np.uint32)])
+        _, sums = added(integers(table, 2, True), [joined(table, 3, np.uint32)])
         return pa.table({"tokens": [int(sums.sum())], "kinds": [int((sums > 0).sum())]})
 
     words = counts.select("bucket", "b2", "b3").groupBy("bucket").applyInArrow(total, "tokens long, kinds long").agg(F.sum("tokens"), F.sum("kinds")).first()
@@ -285,9 +266,9 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
 
     def answer(table: pa.Table, nodes: pa.Table) -> pa.Table:
         gram, value = mixed_log10(table, nodes, depth)
-        word, sums = added(integers(table, 2), [joined(table, 3, np.uint32)])
+        word, sums = added(integers(table, 2, True), [joined(table, 3, np.uint32)])
         values, known = [], []
-        for g, w in zip(integers(table, 0), integers(table, 2), strict=True):
+        for g, w in zip(integers(table, 0, True), integers(table, 2, True), strict=True):
             values.append(value[np.searchsorted(gram, g)].astype(np.float32).tobytes())
             known.append(sums[np.searchsorted(word, w)].tobytes())
         return pa.table({"block": table.column("block"), "b0": table.column("b0"), "b1": pa.array(values, pa.binary()), "b2": table.column("b2"), "b3": pa.array(known, pa.binary())})
@@ -295,7 +276,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, depth: int =
     answers = counts.groupBy("bucket").cogroup(top.groupBy("bucket")).applyInArrow(answer, "block int, b0 binary, b1 binary, b2 binary, b3 binary")
 
     def score(table: pa.Table, given: pa.Table) -> pa.Table:
-        gram, word = (np.concatenate([NONE, *integers(given, i)]) for i in (0, 2))
+        gram, word = (np.concatenate([NONE, *integers(given, i, True)]) for i in (0, 2))
         value, count = joined(given, 1, np.float32).astype(np.float64), joined(given, 3, np.int64)
         g_order, w_order = np.argsort(gram), np.argsort(word)
         gram, value, word, count = gram[g_order], value[g_order], word[w_order], count[w_order]

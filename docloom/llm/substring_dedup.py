@@ -1,9 +1,10 @@
 """Substring dedup: words in windows that already occur in a document with a smaller id are removed.
 
-Tasks compute the Rabin-Karp hash of every window of `k` words.  The hashes go to hash ranges, where
-Spark counts each one's documents; a window of several documents belongs to the smallest id, and every
-other document gets the hash back.  The second pass marks the returned windows in the whole text and
-merges them into maximal intervals.
+Documents are dealt to blocks; a block computes the Rabin-Karp hash of every window of `k` words and sends
+each distinct hash, with the smallest id that has it, to the hash's range.  There Spark's groups bring all
+blocks' entries together: a window belongs to the smallest id of all, and every block whose own smallest id is
+larger gets the hash back.  The block then marks the taken windows in its whole texts and merges them into
+maximal intervals.
 """
 
 from __future__ import annotations
@@ -13,75 +14,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import FLUSH, block_batch, block_schema, bucket_of, joined, n_blocks, per_bucket, runs, split, text_rows
-from docloom.llm.tokens import Words, mix, slices
+from docloom.llm.blocks import bucket_of, dealt, integers, n_blocks, packed, runs, split, text_rows
+from docloom.llm.tokens import Words, slices
 
 K = 50
 #: Stands for a null id: after all ids.
 NO_ID = (1 << 63) - 1
+NONE = np.zeros(0, np.uint64)
 
 
-def window_blocks(docs: DataFrame, k: int, n: int) -> DataFrame:
-    """For each hash range: window hashes, in runs of one document (id, number of hashes)."""
+def ids_of(column) -> np.ndarray:
+    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
-    def ship(ids, hashes):
-        ids, hashes = np.concatenate(ids), np.concatenate(hashes)
-        rows = []
-        for b, (doc, h) in split(bucket_of(hashes, n), [ids, hashes]):
-            start, count = runs(doc)
-            rows.append((b, [h, doc[start], count.astype(np.uint32)]))
-        return block_batch(rows, 3)
-
-    def pack(batches):
-        ids, hashes, held = [], [], 0
-        for batch in batches:
-            doc_ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(batch.column("text")):
-                words = Words(batch.column("text").slice(lo, hi - lo))
-                at, h = words.windows(k)
-                doc = doc_ids[lo:hi][words.rows[at]]
-                ids.append(doc)
-                hashes.append(h)
-                held += len(h)
-                if held >= FLUSH:
-                    yield ship(ids, hashes)
-                    ids, hashes, held = [], [], 0
-        if held:
-            yield ship(ids, hashes)
-
-    return docs.mapInArrow(pack, block_schema(3))
-
-
-def owned_elsewhere(blocks: DataFrame, n: int) -> DataFrame:
-    """doc_id and the hashes of its windows that a document with a smaller id has too; one row a document."""
 
-    def judge(table: pa.Table) -> pa.Table:
-        h = joined(table, 0, np.uint64)
-        doc = np.repeat(joined(table, 1, np.int64), joined(table, 2, np.uint32))
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        start, count = runs(h)
-        later = doc > np.repeat(doc[start], count)
-        h, doc = h[later], doc[later]
-        first = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])] if len(h) else np.zeros(0, bool)
-        h, doc = h[first], doc[first]
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
+def pieces(table: pa.Table):
+    """Slices of a block's rows with about a chunk of text each, one row at least."""
+    for batch in table.to_batches():
+        for lo, hi in slices(batch.column("text")):
+            yield batch.slice(lo, hi - lo)
+
+
+def block_windows(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct window hashes in order, the smallest id that has each, and whether another id has it too."""
+    hashes, ids = [NONE], [np.zeros(0, np.int64)]
+    for part in pieces(table):
+        words = Words(part.column("text"))
+        at, h = words.windows(k)
+        hashes.append(h)
+        ids.append(ids_of(part.column("doc_id"))[words.rows[at]])
+    h, doc = np.concatenate(hashes), np.concatenate(ids)
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    start, _ = runs(h)
+    if not len(start):
+        return h, doc, np.zeros(0, bool)
+    least = np.minimum.reduceat(doc, start)
+    return h[start], least, np.maximum.reduceat(doc, start) > least
+
+
+def window_entries(docs: DataFrame, k: int, n: int) -> DataFrame:
+    """(block, range) with the block's distinct hashes there (b0) and the smallest id of each: a place (b1) in a list (b2)."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        h, least, _ = block_windows(table, k)
         rows = []
-        for b, (a, d) in split(bucket_of(mix(doc.view(np.uint64)), n), [h, doc]):
-            start, count = runs(d)
-            rows.append((b, [a, d[start], count.astype(np.uint32)]))
-        return pa.Table.from_batches([block_batch(rows, 3)])
+        for b, (own, ids) in split(bucket_of(h, n), [h, least]):
+            names, place = np.unique(ids, return_inverse=True)
+            rows.append((b, packed(own, ascending=True), packed(place), names.tobytes()))
+        block = table.column("block")[0].as_py()
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table([pa.array([block] * len(rows), pa.int32()), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["block", "bucket", "b0", "b1", "b2"])
+
+    return docs.groupBy("block").applyInArrow(pack, "block int, bucket int, b0 binary, b1 binary, b2 binary")
+
 
-    def gather(table: pa.Table) -> pa.Table:
-        h = joined(table, 0, np.uint64)
-        doc = np.repeat(joined(table, 1, np.int64), joined(table, 2, np.uint32))
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        start, count = runs(doc)
-        return pa.table({"doc_id": pa.array(doc[start], pa.int64()), "owned": pa.array([h[s : s + c].tobytes() for s, c in zip(start, count, strict=True)], pa.binary())})
+def taken_elsewhere(entries: DataFrame) -> DataFrame:
+    """(block, b0): hashes of a block that a document of another block with a smaller id has too."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        hashes = integers(table, 0, ascending=True)
+        ids = [np.frombuffer(names.as_py(), np.int64)[place.astype(np.int64)] for place, names in zip(integers(table, 1), table.column("b2"), strict=True)]
+        h, least = np.concatenate(hashes), np.concatenate(ids)
+        order = np.argsort(h, kind="stable")
+        start, count = runs(h[order])
+        first = np.empty(len(h), np.int64)
+        first[order] = np.repeat(np.minimum.reduceat(least[order], start), count)
+        taken = np.split(first < least, np.cumsum([len(x) for x in hashes])[:-1])
+        rows = [(block, packed(own[t], ascending=True)) for block, own, t in zip(table.column("block").to_pylist(), hashes, taken, strict=True) if t.any()]
+        return pa.table({"block": pa.array([b for b, _ in rows], pa.int32()), "b0": pa.array([x for _, x in rows], pa.binary())})
 
-    return per_bucket(per_bucket(blocks, judge, block_schema(3)), gather, "doc_id long, owned binary")
+    return entries.groupBy("bucket").applyInArrow(judge, "block int, b0 binary")
 
 
 def cover(starts: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -106,37 +108,40 @@ def dedup_substrings(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_c
     Repeated rows have equal results, as a window is only taken by a smaller id.  Text of any length is
     handled whole.  An empty table gives an empty result.
     """
-    rows = text_rows(docs, id_col, text_col)
     n = n_blocks(docs, text_col)
-    owned = owned_elsewhere(window_blocks(rows, k, n), n)
-    keyed = rows.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID)))
-    both = keyed.join(owned.withColumnRenamed("doc_id", "_key"), "_key", "left").select("doc_id", "text", "owned")
-
-    def strip(batches):
-        for batch in batches:
-            owned, text = batch.column("owned"), batch.column("text")
-            has = owned.is_valid().to_numpy(zero_copy_only=False)
-            n_words, n_removed, removed, kept = [], [], [], []
-            for lo, hi in slices(text):
-                part = text.slice(lo, hi - lo)
-                words = Words(part) if has[lo:hi].any() else None
-                at, h = words.windows(k) if words else (None, None)
-                for r, value in enumerate(part):
-                    raw = (value.as_py() or "").encode()
-                    own = raw.split()
-                    spans = []
-                    if has[lo + r]:
-                        taken = np.frombuffer(owned[lo + r].as_py(), np.uint64)
-                        a, z = np.searchsorted(at, words.first[r : r + 2])
-                        hit = at[a:z][np.isin(h[a:z], taken)] - words.first[r]
-                        covered = cover(hit, k, len(own))
-                        spans = intervals(covered).tolist()
-                    n_words.append(len(own))
-                    n_removed.append(sum(z - a for a, z in spans))
-                    removed.append(spans)
-                    for a, z in reversed(spans):
-                        del own[a:z]
-                    kept.append(b" ".join(own).decode())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "removed", "kept_text"])
-
-    return both.mapInArrow(strip, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept_text string")
+    rows = dealt(text_rows(docs, id_col, text_col), n)
+    taken = taken_elsewhere(window_entries(rows, k, n))
+
+    def strip(table: pa.Table, answers: pa.Table) -> pa.Table:
+        elsewhere = np.sort(np.concatenate([NONE, *integers(answers, 0, ascending=True)]))
+        h, least, several = block_windows(table, k)
+        shared, owner = h[several], least[several]
+        out = []
+        for part in pieces(table):
+            ids, words = ids_of(part.column("doc_id")), Words(part.column("text"))
+            at, own = words.windows(k)
+            hit = found(elsewhere, own)[0]
+            inside, place = found(shared, own)
+            hit[inside] |= owner[place[inside]] < ids[words.rows[at[inside]]]
+            covered = cover(at[hit], k, len(words.starts))
+            n_removed, removed, kept = [], [], []
+            for r, text in enumerate(part.column("text").to_pylist()):
+                spans = intervals(covered[words.first[r] : words.first[r + 1]]).tolist()
+                left = text.encode().split()
+                for a, z in reversed(spans):
+                    del left[a:z]
+                n_removed.append(sum(z - a for a, z in spans))
+                removed.append(spans)
+                kept.append(b" ".join(left).decode())
+            out.append(pa.record_batch([part.column("doc_id"), pa.array(words.counts, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "removed", "kept_text"]))
+        return pa.Table.from_batches(out)
+
+    return rows.groupBy("block").cogroup(taken.groupBy("block")).applyInArrow(strip, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept_text string")
+
+
+def found(among: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are among the ascending ones, and where."""
+    if not len(among):
+        return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[at] == values, at

@@ -239,6 +239,7 @@ def test_context_tree_is_context_tree_weighting(spark, depth):
 def test_context_tree_with_huge_counts_and_no_training_rows(spark):
     """Counts of 1e8 leave every probability above zero; no node is lost."""
     from docloom.llm import context_tree as C
+    from docloom.llm.blocks import packed
 
     depth = 5
     counts = {(b"aaaaa", 97): 10**8, (b"aaaab", 97): 3, (b"abaaa", 98): 10**8, (b"xyaaa", 98): 7, (b"aaaaa", 120): 0, (b"qqqqq", 0): 0}
@@ -246,7 +247,7 @@ def test_context_tree_with_huge_counts_and_no_training_rows(spark):
     g = np.array(sorted(code(*k) for k in counts), np.uint64)
     n = np.array([{code(*k): v for k, v in counts.items()}[x] for x in g.tolist()], np.uint32)
     bucket = C.range_of(g >> np.uint64(8 * (depth - C.CUT + 1)), 2)
-    rows = [(0, b, C.squeezed(g[bucket == b]), n[bucket == b].tobytes(), C.squeezed(C.NONE), b"") for b in (0, 1)]
+    rows = [(0, b, packed(g[bucket == b], True), n[bucket == b].tobytes(), packed(C.NONE, True), b"") for b in (0, 1)]
     messages = spark.createDataFrame([tuple(map(lambda x: bytearray(x) if isinstance(x, bytes) else x, r)) for r in rows], C.MESSAGE)
 
     def value(table, top):
@@ -267,6 +268,7 @@ def test_grams_of_a_long_text_come_in_pieces(monkeypatch):
     import pyarrow as pa
 
     from docloom.llm import context_tree as C
+    from docloom.llm.blocks import packed, unpacked
 
     texts = pa.array(["AbC" * 50, None, "x"])
     whole = [np.concatenate(x) for x in zip(*C.grams(texts, 5), strict=True)]
@@ -276,7 +278,8 @@ def test_grams_of_a_long_text_come_in_pieces(monkeypatch):
     assert np.bincount(whole[1]).tolist() == [151, 1, 2]
     assert whole[0][3] == int.from_bytes(b"a" + b"\0\0abc", "little")
     for values in (whole[0], whole[0][:1], whole[0][:0], np.array([0, 2**64 - 1], np.uint64)):
-        assert np.array_equal(C.loosened(C.squeezed(np.unique(values))), np.unique(values))
+        assert np.array_equal(unpacked(packed(np.unique(values), True), True), np.unique(values))
+        assert np.array_equal(unpacked(packed(values)), values)
 
 
 # ---- 3 rollups
