@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from docloom.scratch import scratch, shared_root
 
-#: Characters of text for which one range of hashes is kept.
-BLOCK_CHARS = 24_000_000
+#: Characters of text in a block, and for which one range of hashes is kept; the smaller one where a block holds a number for each of its words.
+BLOCK_CHARS, WORD_BLOCK_CHARS = 24_000_000, 16_000_000
 #: Entries that a task holds before it ships them.
 FLUSH = 2_000_000
 #: Bytes of an Arrow batch that goes to Python; a longer text makes a batch of its own.

@@ -1,7 +1,9 @@
 """Set-similarity self-join of documents on word shingles by a grouped prefix join.
 
-1. A document is the set of its distinct shingles; documents with equal sets are one set (one key).
-2. Every shingle's number of sets is counted in hash ranges; a set gets back those that others share.
+1. A document is the set of its distinct shingles; documents with equal sets are one set (one key), of which
+   one row is looked at further.
+2. Documents are dealt to blocks.  A block counts its sets by shingle and sends each distinct shingle once to
+   its hash range; the range adds up and tells every block the shingles that several sets have.
 3. With the rarest shingles first, two sets of Jaccard similarity t or more share a shingle among the
    first ``n - ceil(t n) + 1`` of each.  Sets with the same size and the same prefix form a group.
 4. Groups that share a prefix shingle and whose sizes are close enough are candidates.  Each shingle's
@@ -17,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import FLUSH, block_batch, block_schema, bucket_of, cut, fresh, joined, n_blocks, per_bucket, release, row_key, runs, split, text_rows
+from docloom.llm.blocks import WORD_BLOCK_CHARS, bucket_of, cut, fresh, integers, n_blocks, packed, release, row_key, runs, split, text_rows
 from docloom.llm.graph import components
 from docloom.llm.tokens import U, Words, mix, slices
 
 PERCENT = 85
 SHINGLE = 4
-#: Bits of the fixed-size filter of rows in components of several.
+#: Bits of the fixed-size filter of rows that need a decision.
 FILTER_LOG2 = 25
+NONE = np.zeros(0, U)
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,96 +69,95 @@ def document_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.withColumn("row", row_key()).mapInArrow(scan, "doc_id long, key long, n_shingles long, row long")
 
 
-def shingle_blocks(docs: DataFrame, k: int, n: int) -> DataFrame:
-    """For each hash range: shingles, in runs of one set (key, set size, number of shingles)."""
+def chosen_sets(table: pa.Table, chosen: np.ndarray, k: int):
+    """(row, shingle, set size, set key) of a block's chosen rows, piece by piece; of equal rows the first counts."""
+    left = set(chosen.tolist())
+    for batch in table.to_batches():
+        names = batch.column("row").to_pylist()
+        first = []
+        for name in names:
+            first.append(name in left)
+            left.discard(name)
+        part = batch.filter(pa.array(first, pa.bool_()))
+        for lo, hi in slices(part.column("text")):
+            yield shingle_sets(part.column("text").slice(lo, hi - lo), k)
 
-    def ship(parts):
-        h, key, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        rows = []
-        for b, (a, s, z) in split(bucket_of(h, n), [h, key, size]):
-            start, count = runs(s)
-            rows.append((b, [a, s[start], z[start], count.astype(np.uint32)]))
-        return block_batch(rows, 4)
 
-    def pack(batches):
-        parts, held, seen = [], 0, set()
-        for batch in batches:
-            for lo, hi in slices(batch.column("text")):
-                row, h, n, key = shingle_sets(batch.column("text").slice(lo, hi - lo), k)
-                new = np.zeros(len(key), bool)
-                for r, value in enumerate(key.tolist()):
-                    if n[r] and value not in seen:  # equal sets of one shipment are sent once
-                        seen.add(value)
-                        new[r] = True
-                keep = new[row]
-                parts.append((h[keep], key[row[keep]], n[row[keep]].astype(np.uint32)))
-                held += len(parts[-1][0])
-                if held >= FLUSH:
-                    yield ship(parts)
-                    parts, held, seen = [], 0, set()
-        if held:
-            yield ship(parts)
-
-    return docs.mapInArrow(pack, block_schema(4))
-
-
-def shared_shingles(blocks: DataFrame, n: int) -> DataFrame:
-    """For each range of set keys: the shingles of two sets or more, in runs of one set, and in how many sets they are."""
+def shingle_counts(texts: DataFrame, chosen: DataFrame, k: int, n: int) -> DataFrame:
+    """(block, range) with a block's distinct shingles (b0) and how many of its sets have each (b1)."""
+
+    def count(table: pa.Table, own: pa.Table) -> pa.Table:
+        hashes = np.sort(np.concatenate([NONE, *(h for _, h, _, _ in chosen_sets(table, own.column("row").to_numpy(), k))]))
+        start, sets = runs(hashes)
+        rows = [(b, packed(h, ascending=True), packed(c)) for b, (h, c) in split(bucket_of(hashes[start], n), [hashes[start], sets])]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        block = own.column("block")[0].as_py() if len(own) else 0
+        return pa.table([pa.array([block] * len(rows), pa.int32()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["block", "bucket", "b0", "b1"])
+
+    return texts.groupBy("block").cogroup(chosen.groupBy("block")).applyInArrow(count, "block int, bucket int, b0 binary, b1 binary")
+
+
+def shared_shingles(counts: DataFrame) -> DataFrame:
+    """(block, b0, b1): a block's shingles that several sets have, and how many sets."""
 
     def judge(table: pa.Table) -> pa.Table:
-        h, count = joined(table, 0, U), joined(table, 3, np.uint32)
-        key, size = np.repeat(joined(table, 1, U), count), np.repeat(joined(table, 2, np.uint32), count)
-        order = np.lexsort((key, h))
-        h, key, size = h[order], key[order], size[order]
-        first = np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])] if len(h) else np.zeros(0, bool)
-        h, key, size = h[first], key[first], size[first]
-        _, sets = runs(h)
-        df = np.repeat(sets, sets)
-        shared = df > 1
-        h, key, size, df = h[shared], key[shared], size[shared], np.minimum(df[shared], 65535).astype(np.uint16)
-        order = np.argsort(key, kind="stable")
-        h, key, size, df = h[order], key[order], size[order], df[order]
+        hashes = integers(table, 0, ascending=True)
+        h, own = np.concatenate(hashes), np.concatenate(integers(table, 1)).astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        start, count = runs(h[order])
+        df = np.empty(len(h), np.int64)
+        df[order] = np.repeat(np.add.reduceat(own[order], start), count)
         rows = []
-        for b, (a, s, z, d) in split(bucket_of(key, n), [h, key, size, df]):
-            start, count = runs(s)
-            rows.append((b, [a, d, s[start], z[start], count.astype(np.uint32)]))
-        return pa.Table.from_batches([block_batch(rows, 5)])
+        for block, shingles, sets in zip(table.column("block").to_pylist(), hashes, np.split(df, np.cumsum([len(x) for x in hashes])[:-1]), strict=True):
+            shared = sets > 1
+            if shared.any():
+                rows.append((block, packed(shingles[shared], ascending=True), packed(sets[shared])))
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.table([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["block", "b0", "b1"])
 
-    return per_bucket(blocks, judge, block_schema(5))
+    return counts.groupBy("bucket").applyInArrow(judge, "block int, b0 binary, b1 binary")
 
 
 RECORD = "key long, n long, singles long, prefix array<long>, prefix_hash long, shared binary"
 
 
-def records(shared: DataFrame, percent: int) -> DataFrame:
+def records(texts: DataFrame, chosen: DataFrame, shared: DataFrame, percent: int, k: int) -> DataFrame:
     """Sets whose prefix has a shared shingle.  singles: shingles that no other set has; shared: the others, in order."""
 
-    def judge(table: pa.Table) -> pa.Table:
-        h, df, count = joined(table, 0, U), joined(table, 1, np.uint16), joined(table, 4, np.uint32)
-        key, size = np.repeat(joined(table, 2, U), count), np.repeat(joined(table, 3, np.uint32), count).astype(np.int64)
-        order = np.lexsort((h, df, key))
-        h, key, size = h[order], key[order], size[order]
-        start, count = runs(key)
-        n = size[start] if len(start) else np.zeros(0, np.int64)
-        single = n - count
-        prefix = n - (percent * n + 99) // 100 + 1
-        take = np.minimum(prefix - single, count)
+    def judge(table: pa.Table, given: pa.Table) -> pa.Table:
+        own, told = given.filter(given.column("row").is_valid()), given.filter(given.column("row").is_null())
+        among, sets = np.concatenate([NONE, *integers(told, 0, ascending=True)]), np.concatenate([NONE, *integers(told, 1)])
+        order = np.argsort(among)
+        among, sets = among[order], sets[order]
         out = {name: [] for name in ("key", "n", "singles", "prefix", "prefix_hash", "shared")}
-        for i in np.flatnonzero(take > 0):
-            own = h[start[i] : start[i] + count[i]]
-            head = own[: take[i]]
-            out["key"].append(int(key[start[i]].view(np.int64)))
-            out["n"].append(int(n[i]))
-            out["singles"].append(int(single[i]))
-            out["prefix"].append(head.view(np.int64))
-            # With a shingle of its own in the prefix a set has no equal prefix: its key takes part in the hash.
-            own_part = key[start[i]] if single[i] > 0 else U(0)
-            out["prefix_hash"].append(int(mix(np.array([(mix(head * U(3) + np.arange(len(head), dtype=U))).sum(dtype=U) ^ own_part]))[0].view(np.int64)))
-            out["shared"].append(own.tobytes())
+        for row, h, size, keys in chosen_sets(table, own.column("row").to_numpy(), k) if len(among) else ():
+            at = np.minimum(np.searchsorted(among, h), len(among) - 1)
+            known = among[at] == h
+            row, h, df = row[known], h[known], sets[at[known]]
+            order = np.lexsort((h, df, row))
+            row, h = row[order], h[order]
+            start, count = runs(row)
+            n, key = size[row[start]], keys[row[start]]
+            single = n - count
+            prefix = n - (percent * n + 99) // 100 + 1
+            take = np.minimum(prefix - single, count)
+            for i in np.flatnonzero(take > 0):
+                whole = h[start[i] : start[i] + count[i]]
+                head = whole[: take[i]]
+                out["key"].append(int(key[i].view(np.int64)))
+                out["n"].append(int(n[i]))
+                out["singles"].append(int(single[i]))
+                out["prefix"].append(head.view(np.int64))
+                # With a shingle of its own in the prefix a set has no equal prefix: its key takes part in the hash.
+                part = key[i] if single[i] > 0 else U(0)
+                out["prefix_hash"].append(int(mix(np.array([(mix(head * U(3) + np.arange(len(head), dtype=U))).sum(dtype=U) ^ part]))[0].view(np.int64)))
+                out["shared"].append(whole.tobytes())
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
         return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], list(out))
 
-    return per_bucket(shared, judge, RECORD)
+    none = F.lit(None)
+    given = chosen.select("block", "row", none.cast("binary").alias("b0"), none.cast("binary").alias("b1")).union(shared.select("block", none.cast("long").alias("row"), "b0", "b1"))
+    return texts.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(judge, RECORD)
 
 
 def _close(a: str, b: str, percent: int):
@@ -193,7 +195,8 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     lists = cut(lists.select("shingle", "key", "group", "n", "singles", (F.col("i") + F.col("singles")).alias("place")))
     # Groups first: each list's pivot group with its other groups, then their members; and within a group, its first with the others.
     heads = lists.where("key = group")
-    pivots = heads.groupBy("shingle").agg(F.min(F.struct("singles", "key", "n", "place")).alias("p"))
+    # Pivots are cut off the join, so that a shingle with many groups can be split there.
+    pivots = cut(heads.groupBy("shingle").agg(F.min(F.struct("singles", "key", "n", "place")).alias("p")))
     pairs = heads.alias("l").join(pivots, "shingle").where((F.col("key") != F.col("p.key")) & _close("l", "p", percent)).select(F.col("p.key").alias("u"), "group").distinct()
     pairs = pairs.join(members.select("group", F.col("key").alias("v")), "group").select("u", "v")
     inside = members.where("key != group").select(F.col("group").alias("u"), F.col("key").alias("v"))
@@ -203,7 +206,7 @@ def set_components(sets: DataFrame, percent: int) -> DataFrame:
     tagged = lists.drop("group").join(found.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sizes = tagged.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("largest")).where("size > largest")
-    tagged = cut(tagged.join(main.select("shingle", "main"), "shingle"))
+    tagged = cut(tagged.join(cut(main.select("shingle", "main")), "shingle"))
     a, b = tagged.where("root != main").alias("a"), tagged.alias("b")
     pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b", percent))
     pairs = pairs.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
@@ -222,11 +225,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, i
     hash of id and text).
     """
     rows = text_rows(docs, id_col, text_col)
-    n = n_blocks(docs, text_col)
-    sets = cut(records(shared_shingles(shingle_blocks(rows, k, n), n), percent))
+    n = n_blocks(docs, text_col, WORD_BLOCK_CHARS)
+    of_docs = cut(document_sets(rows, k))
+    block = F.pmod(F.col("row"), F.lit(n)).cast("int").alias("block")
+    chosen = cut(of_docs.where("key is not null").groupBy("key").agg(F.min("row").alias("row")).select("row", block))
+    texts = rows.select("text", row_key().alias("row")).select("text", "row", block)
+    sets = cut(records(texts, chosen, shared_shingles(shingle_counts(texts, chosen, k, n)), percent, k))
     release(docs.sparkSession)
     roots = set_components(sets, percent)
-    of_docs = cut(document_sets(rows, k))
     by_key = of_docs.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"))
     named = by_key.join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = named.groupBy("root").agg(F.min("first_id").alias("name"))
@@ -243,9 +249,10 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, id_co
     found = cut(near_duplicates(docs, percent, k, id_col, text_col).where("component is not null").select("component", "doc_id", "row"))
     release(docs.sparkSession)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("w")
-    counts = found.groupBy("component").agg(least, F.count(F.lit(1)).alias("n"))
-    # Components of one row need no decision; of the others all rows but the first go.
-    shared = cut(found.join(counts.where("n > 1").select("component", F.col("w.row").alias("stays")), "component").groupBy("row").agg(F.max(F.col("row") == F.col("stays")).alias("stays")))
+    winners = found.groupBy("component").agg(least).select(F.col("w.row").alias("row"), F.lit(True).alias("stays"))
+    # All goes by row, so that no task gets a whole component: rows that stay alone need no decision, the others do.
+    times = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    shared = cut(times.join(winners, "row", "left").where("stays is null or n > 1").select("row", F.coalesce("stays", F.lit(False)).alias("stays")))
     slots = shared.select(F.shiftrightunsigned("row", 64 - FILTER_LOG2).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
     bits = np.zeros(1 << FILTER_LOG2, bool)
     bits[slots] = True

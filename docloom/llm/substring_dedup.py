@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.blocks import bucket_of, dealt, integers, n_blocks, packed, runs, split, text_rows
+from docloom.llm.blocks import WORD_BLOCK_CHARS, bucket_of, dealt, integers, n_blocks, packed, runs, split, text_rows
 from docloom.llm.tokens import Words, slices
 
 K = 50
@@ -108,7 +108,7 @@ def dedup_substrings(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_c
     Repeated rows have equal results, as a window is only taken by a smaller id.  Text of any length is
     handled whole.  An empty table gives an empty result.
     """
-    n = n_blocks(docs, text_col)
+    n = n_blocks(docs, text_col, WORD_BLOCK_CHARS)
     rows = dealt(text_rows(docs, id_col, text_col), n)
     taken = taken_elsewhere(window_entries(rows, k, n))
 
