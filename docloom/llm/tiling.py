@@ -10,9 +10,11 @@ Words are runs of letters and digits, A-Z lower-cased, so punctuation and spacin
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.blocks import bounded, cut, fresh, row_key, text_rows
@@ -23,7 +25,9 @@ THRESHOLD = 0.6
 #: The benchmark's text is broadcast up to this size; a larger one is joined by its seeds.
 BROADCAST_BYTES = 32 << 20
 #: Bits of the fixed-size filter of seeds used for a larger benchmark.
-FILTER_LOG2 = 27
+FILTER_LOG2 = 24
+#: Pairs of matching windows that are looked at together; bounds a task's memory on texts that repeat one word.
+PAIRS = 1 << 20
 RESULT = "doc_id long, item_id long, item_words long, covered_words long, coverage double, tiles array<struct<doc_start:long,item_start:long,length:long>>"
 TILES = pa.list_(pa.struct([("doc_start", pa.int64()), ("item_start", pa.int64()), ("length", pa.int64())]))
 
@@ -33,7 +37,11 @@ def normal_words(column: pa.Array) -> Words:
 
 
 def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of two sequences of word hashes: (doc start, item start, length) of each tile."""
+    """Greedy string tiling of two sequences of word hashes: (doc start, item start, length) of each tile.
+
+    The longest common run of unmarked words is always marked next; of equally long ones the first in the
+    document, then in the item.
+    """
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
     tiles, length = [], max(min_match, len(item) // 2)
     while length <= len(item):
@@ -42,17 +50,19 @@ def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, i
         if longest > 2 * length:  # look for the very long ones first
             length = longest
             continue
-        queue = sorted(matches, key=lambda m: (-m[2], m[0], m[1]))
+        queue = [(-n, i, j) for i, j, n in matches]
+        heapq.heapify(queue)
         while queue:
-            i, j, n = queue.pop(0)
-            open_ = free_doc[i : i + n] & free_item[j : j + n]
+            n, i, j = heapq.heappop(queue)
+            open_ = free_doc[i : i - n] & free_item[j : j - n]
             if not open_.all():  # a longer tile has taken a part: what is left of it competes again
                 edge = np.flatnonzero(np.diff(np.r_[False, open_, False].astype(np.int8))).reshape(-1, 2)
-                queue += [(i + a, j + a, z - a) for a, z in edge.tolist() if z - a >= length]
-                queue.sort(key=lambda m: (-m[2], m[0], m[1]))
+                for a, z in edge.tolist():
+                    if z - a >= length:
+                        heapq.heappush(queue, (a - z, i + a, j + a))
                 continue
-            free_doc[i : i + n] = free_item[j : j + n] = False
-            tiles.append((i, j, n))
+            free_doc[i : i - n] = free_item[j : j - n] = False
+            tiles.append((i, j, -n))
         if length == min_match:
             break
         length = max(min_match, length // 2)
@@ -60,7 +70,11 @@ def tile(doc: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, i
 
 
 def _matches(doc, item, free_doc, free_item, length) -> list[tuple[int, int, int]]:
-    """Maximal common runs of unmarked words, at least `length` long, found by their rolling hashes."""
+    """Maximal common runs of unmarked words, at least `length` long, by the rolling hashes of their windows.
+
+    Windows that match one after the other lie on one diagonal (place in the document less place in the item) and
+    make one run; at most PAIRS pairs of windows are looked at together.
+    """
     if len(doc) < length or len(item) < length:
         return []
     starts = []
@@ -70,20 +84,31 @@ def _matches(doc, item, free_doc, free_item, length) -> list[tuple[int, int, int
     h_doc, h_item = window_hashes(doc, length)[starts[0]], window_hashes(item, length)[starts[1]]
     order = np.argsort(h_item, kind="stable")
     lo, hi = np.searchsorted(h_item[order], h_doc, "left"), np.searchsorted(h_item[order], h_doc, "right")
-    out, seen = [], set()
-    for k in np.flatnonzero(hi > lo):
-        i = int(starts[0][k])
-        for j in starts[1][order[lo[k] : hi[k]]].tolist():
-            if (i - 1, j - 1) in seen:  # inside a run that has begun before
-                seen.add((i, j))
-                continue
-            seen.add((i, j))
-            most = min(len(doc) - i, len(item) - j)
-            same = (doc[i : i + most] == item[j : j + most]) & free_doc[i : i + most] & free_item[j : j + most]
-            n = most if same.all() else int(same.argmin())
-            if n >= length:
-                out.append((i, j, n))
-    return out
+    hit = np.flatnonzero(hi > lo)
+    lo, count, at = lo[hit], (hi - lo)[hit], starts[0][hit]
+    total = np.r_[0, np.cumsum(count)]
+    runs_ = []
+    first = 0
+    while first < len(hit):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, "right")) - 1)
+        n = count[first:last]
+        i = np.repeat(at[first:last], n)
+        j = starts[1][order[np.repeat(lo[first:last] - (total[first:last] - total[first]), n) + np.arange(n.sum())]]
+        runs_.append(_joined(i - j, i, i + 1))
+        first = last
+    if not runs_:
+        return []
+    diagonal, begin, end = _joined(*(np.concatenate(x) for x in zip(*runs_, strict=True)))
+    return list(zip(begin.tolist(), (begin - diagonal).tolist(), (end - begin + length - 1).tolist(), strict=True))
+
+
+def _joined(diagonal: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Stretches [begin, end) of diagonals, with those that meet made one."""
+    order = np.lexsort((begin, diagonal))
+    diagonal, begin, end = diagonal[order], begin[order], end[order]
+    new = np.r_[True, (diagonal[1:] != diagonal[:-1]) | (begin[1:] != end[:-1])]
+    last = np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]
+    return diagonal[new], begin[new], end[last]
 
 
 class Benchmark:
@@ -213,16 +238,24 @@ def _groups(row: np.ndarray, item: np.ndarray):
 
 
 def _by_seed_join(rows: DataFrame, items: DataFrame, min_match: int, threshold: float) -> DataFrame:
-    """The same pairs without sending the items to every task; items under min_match words are matched by their first word's run too."""
+    """The same pairs without sending the items to every task.
+
+    Tiles that cover threshold of an item's words hold that many words / min_match of its seeds at least, so one of
+    any seeds but so many less one is among them: candidates are asked for without the item's most common seeds,
+    and a seed that all items have makes no pairs.
+    """
 
     def item_seeds(batches):
         for batch in batches:
             b = Benchmark(batch.column("item_id").to_numpy(), batch.column("text"), min_match)
             for n, (h, item, _) in b.seeds.items():
-                seed = np.unique(np.stack([mix(h + U(n)).view(np.int64), b.ids[item]]), axis=1)
-                yield pa.record_batch([pa.array(seed[0]), pa.array(seed[1])], ["seed", "item_id"])
+                needed = [max(1, int(np.ceil(threshold * len(b.items[k]) / n - 1e-9))) for k in item.tolist()]
+                yield pa.record_batch([pa.array(mix(h + U(n)).view(np.int64)), pa.array(b.ids[item]), pa.array(needed, pa.int64())], ["seed", "item_id", "needed"])
 
-    seeds = cut(items.mapInArrow(item_seeds, "seed long, item_id long"))
+    places = cut(items.mapInArrow(item_seeds, "seed long, item_id long, needed long"))
+    common = places.groupBy("seed").agg(F.count(F.lit(1)).alias("places"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("places"), "seed"))
+    seeds = cut(places.join(common, "seed").withColumn("rank", rank).where("rank >= needed").select("seed", "item_id").distinct())
     slots = seeds.select(F.shiftrightunsigned("seed", 64 - FILTER_LOG2).cast("int").alias("slot")).distinct().toArrow().column("slot").to_numpy()
     bits = np.zeros(1 << FILTER_LOG2, bool)
     bits[slots] = True
