@@ -20,10 +20,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from docloom.llm.blocks import text_rows
+from docloom.llm.tokens import slices
 
 #: Place in the 8x8 block of each coefficient in zigzag order: along the diagonals, turning at each.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8) if (i // 8 + i % 8) % 2 else (i % 8))))
+#: Payload bytes of one file; a multiple of 64.
+PIECE = 1 << 22
+_END = re.compile(rb"(?<=\xff\xd9)(?=\xff\xd8)")
 _NEXT_MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.S)
 _RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 _COS = np.array([[np.sqrt((1 + (u > 0)) / 8) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
@@ -439,29 +444,41 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % 64 if raw else 64)
 
 
+def payload_to_media(payload: bytes) -> bytes:
+    """The payload as a JPEG file, or as several end to end if it is longer than PIECE, so that memory stays bounded."""
+    return b"".join(payload_to_jpeg(payload[at : at + PIECE]) for at in range(0, len(payload), PIECE))
+
+
+def files_of(media: bytes) -> list[bytes]:
+    """The files of a stored payload; anything else is one file."""
+    return _END.split(media) if media.startswith(_HEAD) and media.startswith(_COMMENT, len(_HEAD) + 4) else [media]
+
+
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and media: each text kept without loss in a progressive JPEG file.
 
     A null text is empty (64 zero bytes).  One row for each input row; equal texts have equal files.  Texts
-    are stored whole; texts of any length a JPEG frame can hold (1.6 GB) fit.  An empty table gives an empty result.
+    are stored whole; one of more than PIECE bytes is kept in several files end to end.  An empty table gives an
+    empty result.
     """
 
     def encode(batches):
         for batch in batches:
-            for at in range(0, len(batch), 256):  # files of few rows at a time
-                part = batch.slice(at, 256)
+            for lo, hi in slices(batch.column("text")):  # files of some texts at a time
+                part = batch.slice(lo, hi - lo)
                 both = [padded(x.as_py()) for x in part.column("text")]
-                yield pa.record_batch([part.column("doc_id"), pa.array([n for n, _ in both], pa.int64()), pa.array([payload_to_jpeg(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.record_batch([part.column("doc_id"), pa.array([n for n, _ in both], pa.int64()), pa.array([payload_to_media(p) for _, p in both], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return text_rows(docs, id_col, text_col).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
 
 
 def decode_images(media: DataFrame, media_col: str = "media", tensors: bool = True) -> DataFrame:
     """The rows with height, width, tensor (height x width x 3 bytes of RGB), error, and for stored texts their payload.
 
     A null file has null results; a file that isn't a progressive JPEG has an error and null results.
-    feature sums each channel of the tensor.  Without `tensors` the tensor column is left null.
+    feature is the size and the sum of each channel of the tensor.  Where a stored text has several files, height
+    and width are the first one's, and tensors and features stand end to end.  Without `tensors` the tensor
+    column is left null.
     """
     added = ("height int", "width int", "tensor binary", "feature string", "payload binary", "error string")
     names = [a.split()[0] for a in added]
@@ -481,30 +498,38 @@ def decode_images(media: DataFrame, media_col: str = "media", tensors: bool = Tr
 def _read(data: bytes | None, tensors: bool):
     if data is None:
         return (None,) * 6
+    read = []
     try:
-        image = decode(data)
-        rgb = to_rgb(image)
+        for own in files_of(data):
+            image = decode(own)
+            rgb = to_rgb(image)
+            sums = ":".join(map(str, rgb.sum((0, 1), dtype=np.int64).tolist()))
+            ours = any(c.startswith(_COMMENT) for c in image.comments)
+            read.append((image.height, image.width, rgb.tobytes() if tensors else b"", f"{image.width}x{image.height}:{sums}", jpeg_payload(image) if ours else None))
     except (ValueError, KeyError, IndexError, struct.error) as e:
         return None, None, None, None, None, str(e) or type(e).__name__
-    sums = ":".join(map(str, rgb.sum((0, 1), dtype=np.int64).tolist()))
-    ours = any(c.startswith(_COMMENT) for c in image.comments)
-    return image.height, image.width, rgb.tobytes() if tensors else None, f"{image.width}x{image.height}:{sums}", jpeg_payload(image) if ours else None, None
+    _, _, rgb_bytes, features, payloads = zip(*read, strict=True)
+    return read[0][0], read[0][1], b"".join(rgb_bytes) if tensors else None, ";".join(features), None if payloads[0] is None else b"".join(payloads), None
 
 
 def media_digest(stored: DataFrame) -> DataFrame:
     """What was read back from the stored files, by row: lengths, hashes and the feature of the RGB tensor."""
 
     def digest(batches):
-        for batch in batches:
-            rows = []
-            for media in batch.column("media"):
-                data = media.as_py()
-                _, _, _, feature, payload, error = _read(data, False)
-                if error:
-                    raise ValueError(error)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", *names])
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                yield part(whole.slice(at, 256))
+
+    def part(batch):
+        rows = []
+        for media in batch.column("media"):
+            data = media.as_py()
+            _, _, _, feature, payload, error = _read(data, False)
+            if error:
+                raise ValueError(error)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+        return pa.record_batch([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", *names])
 
     return stored.mapInArrow(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

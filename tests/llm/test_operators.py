@@ -514,6 +514,73 @@ def test_greedy_tiling_takes_the_longest_first():
     assert tile(h("a b"), h("a b c"), 3) == [] and tile(h(""), h("a b c"), 3) == []
 
 
+def plain_tiling(doc, item, least):
+    """Marks the longest common run of unmarked words again and again; the first of equals."""
+    free, open_, tiles = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and free[i + n] and open_[j + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (i, j, n)
+        i, j, n = best
+        if n < least:
+            return tiles
+        tiles.append(best)
+        free[i : i + n] = [False] * n
+        open_[j : j + n] = [False] * n
+
+
+def test_tiling_is_greedy_string_tiling(monkeypatch):
+    from docloom.llm import tiling
+
+    rng = random.Random(8)
+    code = {c: np.uint64(rng.randrange(2**63)) for c in "abcd"}
+    for most in (1 << 20, 3):
+        monkeypatch.setattr(tiling, "PAIRS", most)
+        for _ in range(300):
+            doc, item = ("".join(rng.choice("abcd"[: rng.randrange(1, 5)]) for _ in range(rng.randrange(30))) for _ in range(2))
+            least = rng.randrange(1, 5)
+            got = tiling.tile(np.array([code[c] for c in doc], np.uint64), np.array([code[c] for c in item], np.uint64), least)
+            assert got == plain_tiling(doc, item, least), (doc, item, least)
+    same = np.full(200_000, 7, np.uint64)  # one word, many times: no quadratic memory
+    assert sum(n for _, _, n in tiling.tile(same, same[:60], 5)) == 60
+
+
+def test_both_join_paths_find_what_plain_tiling_finds(spark):
+    from docloom.llm.tiling import contaminated
+
+    rng = random.Random(3)
+    common = "this is what we ask of you today".split()
+    items = [(i, " ".join(common + [f"{rng.choice('pqrs')}{rng.randrange(6)}" for _ in range(rng.randrange(2, 14))])) for i in range(12)] + [(20, "two words"), (21, "")]
+    docs = []
+    for d in range(60):
+        words_ = common * (d % 3)
+        for _ in range(rng.randrange(4)):
+            own = rng.choice(items)[1].split()
+            a = rng.randrange(max(1, len(own) - 4))
+            words_ += own[a : a + rng.randrange(2, 20)] + [f"z{rng.randrange(9)}"]
+        docs.append((d, " ".join(words_) or None))
+    docs += [docs[1], (None, docs[2][1])]
+    expected = []
+    for d, text in docs:
+        for i, item in items:
+            own = item.split()
+            if own:
+                covered = sum(n for _, _, n in plain_tiling((text or "").split(), own, min(5, len(own))))
+                if covered >= 0.6 * len(own):
+                    expected.append((d, i, covered))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("row", F.lit("x"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(7))
+    assert len(expected) > 20
+    for most in (1 << 20, 0):
+        got = [(r["doc_id"], r["item_id"], r["covered_words"]) for r in contaminated(frame, bench, broadcast_bytes=most).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
 # ---- 9 toxicity
 
 
@@ -554,6 +621,51 @@ def test_toxicity_on_held_out_rows(spark, corpus):
     assert toxicity(corpus["docs"], table.limit(0)).count() == len(corpus["rows"])
 
 
+def test_unlisted_words_are_tagged_by_their_letters_and_neighbours(spark):
+    """idiots and an unknown word between the words that stand around insults; scores and offsets against the definition."""
+    import pyarrow as pa
+
+    from docloom.llm import toxic_crf as T
+
+    rng = random.Random(2)
+    plain = lambda n: " ".join(rng.choice("stone river light garden letter valley bridge copper".split()) for _ in range(n))
+    rows = [(i, f"{plain(6)} you utter {rng.choice(('idiot', 'moron', 'scum'))} really {plain(5)}" if i % 4 == 0 else f"{plain(5)} the {rng.choice('abcdef')}{i} of {plain(6)}") for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, label int")
+    field = T.fit_field(docs, labels)
+    texts = ["stone you utter blarg really river", "stone the blarg of river", "stone the idiots of river", "É: you utter IDIOT really", None, ""]
+    tokens = T.Tokens(pa.array(texts))
+    p = field.marginals(tokens)
+    of = lambda r, word: p[tokens.first[r] + texts[r].lower().replace(":", "").split().index(word)]
+    assert of(0, "blarg") > 0.2 and of(0, "blarg") > 10 * of(1, "blarg") and of(2, "idiots") > 1.2 * of(1, "blarg")
+    out = {r["doc_id"]: r for r in T.score_toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(1)), field).collect()}
+    for r, text in enumerate(texts):
+        own = p[tokens.first[r] : tokens.first[r + 1]]
+        most = min(max(own.max(initial=0), 1e-4), 1 - 1e-4)
+        z = field.curve @ [1, math.log(most / (1 - most)), math.log1p(own.sum())]
+        assert abs(out[r]["score"] - 1 / (1 + math.exp(-z))) < 1e-9 and out[r]["predicted"] == int(out[r]["score"] >= 0.5)
+        hot, spans = [x >= 0.5 for x in own], []
+        places = [m.span() for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
+        for k, x in enumerate(hot):
+            if x and k and hot[k - 1]:
+                spans[-1] = (spans[-1][0], places[k][1])
+            elif x:
+                spans.append(places[k])
+        assert [(s["start"], s["end"]) for s in out[r]["spans"]] == spans
+    assert "IDIOT" in {texts[3][s["start"] : s["end"]] for s in out[3]["spans"]}
+
+
+def test_the_sample_has_toxic_rows_though_they_are_rare(spark):
+    from docloom.llm import toxic_crf as T
+
+    rows = [(i, "a vile brute" if i % 100 == 0 else "a calm lake") for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 100 == 0)) for i, _ in rows], "doc_id long, label int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = T.fit_field(docs, labels, sample=60)
+    got = {r["text"]: r["predicted"] for r in T.score_toxicity(docs.limit(101), field).join(docs, "doc_id").collect()}
+    assert got == {"a vile brute": 1, "a calm lake": 0}
+
+
 # ---- 10 personal data
 
 KINDS = (

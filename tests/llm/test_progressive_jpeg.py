@@ -180,6 +180,22 @@ def test_queries_on_the_corpus(spark, corpus):
     assert J.media_digest(J.store_texts(corpus["empty"])).count() == 0
 
 
+def test_long_texts_are_kept_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(J, "PIECE", 640)
+    for n in (64, 640, 704, 6400, 6464):
+        payload = random.Random(n).randbytes(n)
+        media = J.payload_to_media(payload)
+        assert len(J.files_of(media)) == -(-n // 640)
+        read = J._read(media, True)
+        assert read[4] == payload and read[5] is None and len(read[3].split(";")) == -(-n // 640) and len(read[2]) % 3 == 0
+    monkeypatch.undo()
+    text = "long text \u00e9 " * 900_000  # 11 MB: three files
+    docs = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in J.media_digest(J.store_texts(docs)).collect()}
+    n, payload = J.padded(text)
+    assert out[1]["n_bytes"] == n and out[1]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and out[1]["feature"].count(";") == 2
+
+
 def test_bad_files_have_an_error(spark):
     good = J.payload_to_jpeg(bytes(64))
     rows = [(1, good), (2, None), (3, b""), (4, b"\xff\xd8\xff"), (5, good[:300]), (6, b"GIF89a")]
