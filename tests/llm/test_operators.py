@@ -652,7 +652,7 @@ def test_unlisted_words_are_tagged_by_their_letters_and_neighbours(spark):
             elif x:
                 spans.append(places[k])
         assert [(s["start"], s["end"]) for s in out[r]["spans"]] == spans
-    assert "IDIOT" in {texts[3][s["start"] : s["end"]] for s in out[3]["spans"]}
+    assert any("IDIOT" in texts[3][s["start"] : s["end"]] for s in out[3]["spans"])
 
 
 def test_the_sample_has_toxic_rows_though_they_are_rare(spark):
