@@ -21,6 +21,8 @@ from docloom.scratch import scratch, shared_root
 
 #: Characters of text in a block, and for which one range of hashes is kept; the smaller one where a block holds a number for each of its words.
 BLOCK_CHARS, WORD_BLOCK_CHARS = 24_000_000, 16_000_000
+#: Blocks and ranges of a small corpus, so that it too is spread over a cluster's tasks.
+LEAST_BLOCKS = 32
 #: Entries that a task holds before it ships them.
 FLUSH = 2_000_000
 #: Bytes of an Arrow batch that goes to Python; a longer text makes a batch of its own.
@@ -72,7 +74,7 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def n_blocks(docs: DataFrame, text_col: str = "text", per: int = BLOCK_CHARS) -> int:
     """How many hash ranges this corpus needs: one pass over the lengths, one number to the driver."""
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")).cast("long"))).first()[0] or 0
-    return max(2, -(-total // per))
+    return max(LEAST_BLOCKS, -(-total // per))
 
 
 def bucket_of(h: np.ndarray, n: int) -> np.ndarray:

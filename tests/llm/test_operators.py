@@ -471,6 +471,30 @@ def test_url_filter(spark, url, rule, verdict):
     assert (r["rule"], r["verdict"]) == (rule, verdict)
 
 
+def test_url_tables(spark):
+    """Null ids, repeated rows, very long urls, other columns with the names of the result, empty tables, no rules."""
+    from docloom.llm.url_globs import RULES, filter_urls
+
+    urls = [None, "", "http://a.com/en/x", "http://a.com/en/x", "http://b.com/" + "x" * 50_000, "http://Ü.net/de/é", "http://com/en/\n?q", "ftp://a.b.example.com:80/en/7"]
+    rows = [(i if i % 3 else None, u, "own", "own", "own", "own") for i, u in enumerate(urls)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, path string, rule string, verdict string")
+
+    def plain(url):
+        host, path = re.match(r"([^/?#]*)([^?#]*)", url.partition("://")[2]).groups() if url and "://" in url else ("", "")
+        host = host.translate(LOWER)
+        best, verdict = None, "allow"
+        for v, rule in RULES:
+            name, _, start = rule.partition("/")
+            if (host == name or host.endswith("." + name)) and path.startswith("/" + start) and (best is None or len(rule) > len(best)):
+                best, verdict = rule, v
+        return host, path, best, verdict
+
+    got = filter_urls(pages).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((r[0], *plain(r[1]))) for r in rows)
+    assert filter_urls(pages.limit(0)).count() == 0
+    assert {r["verdict"] for r in filter_urls(pages, rules=(), default="block").collect()} == {"block"}
+
+
 def test_automaton_against_regular_expressions():
     import pyarrow as pa
 
