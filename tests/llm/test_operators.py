@@ -732,35 +732,41 @@ def test_disclosing_terms(spark, corpus):
     assert find_personal_data(corpus["empty"]).count() == 0
 
 
-def test_disclosing_terms_of_whole_documents(spark, corpus):
-    """Against all pairs of entities and terms of the documents that hold them, however far apart."""
-    from docloom.llm.sanitise import find_personal_data, sanitise
-
+def plain_terms(rows):
+    """{id: pattern spans}, and {id: (start, end, disclosed)} of disclosing terms, from all pairs of entities and terms."""
     term = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
-    far = " ".join(f"filler{i}" for i in range(60))
-    rng = random.Random(4)
-    texts = [f"Zorblax report. {far} by a@b.example.com {far} zorblax", f"{far} ZORBLAX {far} é+49 170 555 1234 a@b.example.com", f"note on {far}", "x10.0.0.1y zorblaxes", None, ""]
-    texts += [" ".join(rng.choice(("red", "blue", "kite", "lamp", "moor", "c@d.example.org", "c@d.example.org,", "10.1.2.3", "+49 170 555 1234", far, f"n{i % 9}")) for _ in range(rng.randrange(1, 9))) for i in range(60)]
-    rows = list(enumerate(texts)) + [(0, texts[0])]
-    n, holders, of, places, df = len(rows), collections.defaultdict(set), {}, {}, collections.Counter()
+    n, holders, of, places, df, spans = len(rows), collections.defaultdict(set), {}, {}, collections.Counter(), {}
     for i, text in rows:
         text = text or ""
         df.update({w.translate(LOWER) for w in term.findall(text)})
-        base = brute_patterns(text)
+        base = spans[i] = brute_patterns(text)
         of[i] = {(k, re.sub("[^0-9]", "", text[a:z]) if k in ("phone", "card") else text[a:z].translate(LOWER)) for k, a, z in base}
         for e in of[i]:
             holders[e].add(i)
         places[i] = [(*m.span(), m[0].translate(LOWER)) for m in term.finditer(text) if not any(m.start() < z and a < m.end() for _, a, z in base)]
     both = collections.Counter((e, w) for i in of for e in of[i] for w in {w for _, _, w in places[i]})
-    disclosed = {(e, w): math.log2(n * c / (len(holders[e]) * df[w])) / math.log2(n / len(holders[e])) for (e, w), c in both.items() if c >= 2}
+    disclosed = {(e, w): math.log2(n * c / (len(holders[e]) * df[w])) / math.log2(n / len(holders[e])) for (e, w), c in both.items() if c >= 2 and len(holders[e]) < n}
     expected = {}
     for i in of:
         best = [(a, z, max((disclosed.get((e, w), 0) for e in of[i]), default=0)) for a, z, w in places[i]]
         expected[i] = [(a, z, round(d, 6)) for a, z, d in best if d >= 0.8]
+    return spans, expected
+
+
+def test_disclosing_terms_of_whole_documents(spark, corpus):
+    """Against all pairs of entities and terms of the documents that hold them, however far apart."""
+    from docloom.llm.sanitise import find_personal_data, sanitise
+
+    far = " ".join(f"filler{i}" for i in range(60))
+    rng = random.Random(4)
+    texts = [f"Zorblax report. {far} by a@b.example.com {far} zorblax", f"{far} ZORBLAX {far} é+49 170 555 1234 a@b.example.com", f"note on {far}", "x10.0.0.1y zorblaxes", None, ""]
+    texts += [" ".join(rng.choice(("red", "blue", "kite", "lamp", "moor", "c@d.example.org", "c@d.example.org,", "10.1.2.3", "+49 170 555 1234", far, f"n{i % 9}")) for _ in range(rng.randrange(1, 9))) for i in range(60)]
+    rows = list(enumerate(texts)) + [(0, texts[0])]
+    _, expected = plain_terms(rows)
     assert [texts[0][a:z] for a, z, _ in expected[0]] == ["Zorblax", "zorblax"]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = find_personal_data(docs).collect()
-    assert len(out) == n
+    assert len(out) == len(rows)
     for r in out:
         assert [(s["start"], s["end"], round(s["disclosed"], 6)) for s in r["terms"]] == expected[r["doc_id"]], r["doc_id"]
     assert not any("zorblax" in r["text"].lower() for r in sanitise(docs).where("doc_id in (0, 1)").collect())
