@@ -1,7 +1,9 @@
 """A corpus pipeline: toxicity, near duplicates, benchmark decontamination, personal data, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage works on all that the one
-before it has kept, and all but the last return the columns of `documents`.
+before it has kept, and all but the last return the columns of `documents`.  Null and empty texts are in no
+group, hold no benchmark passage and no personal data and aren't toxic: they stay until the mix, which takes
+words.  Null ids are ordinary; repeated rows are near duplicates of each other; empty tables give empty results.
 """
 
 from __future__ import annotations
