@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, i
 def deduplicate(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one row left of each component: the smallest id's (nulls last; of equal ids the least row hash).
 
-    Rows without a set stay.  All columns stay.  A filter of fixed size passes most kept documents; only those
+    Rows without a set (null, empty or wordless texts) stay, repeated ones too; of repeated rows with one set one stays.
+    All columns stay, whatever their names; an empty table gives an empty result.  A filter of fixed size passes most kept documents; only those
     that it can't tell from dropped ones go through the exact join.
     """
     found = cut(near_duplicates(docs, percent, k, id_col, text_col).where("component is not null").select("component", "doc_id", "row"))

@@ -299,7 +299,8 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     """doc_id, key, base (pattern spans), terms (spans of disclosing terms with what they disclose) and base_sha256.
 
     One row for each input row.  A null text is empty.  Repeated rows (same id and text) have equal results
-    and count once where pairs are counted.  Texts are read whole.  An empty table gives an empty result.
+    and count once where pairs are counted.  A null id is an ordinary id.  Texts are read whole.  An empty table
+    gives an empty result.  Only the named columns are read.
     """
     rows = _keyed(docs, id_col, text_col)
     found = cut(detect(rows))

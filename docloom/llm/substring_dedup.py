@@ -106,7 +106,7 @@ def dedup_substrings(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_c
     Words are split at space and 0x09-0x0D and compared as they are.  A null text is empty; texts under k
     words are kept.  A null id counts as after all ids (rows without id never take words from each other).
     Repeated rows have equal results, as a window is only taken by a smaller id.  Text of any length is
-    handled whole.  An empty table gives an empty result.
+    handled whole.  An empty table gives an empty result.  Only the named columns are read.
     """
     n = n_blocks(docs, text_col, WORD_BLOCK_CHARS)
     rows = dealt(text_rows(docs, id_col, text_col), n)

@@ -179,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     an item have no row; a document with several has one for each; repeated rows each have theirs.  Null or
     wordless texts and items match nothing.  An item shorter than min_match words must occur whole.  A null
     doc_id stays null; items without an id are left out.  Whole texts are searched.  Empty tables give an
-    empty result.  Items of up to broadcast_bytes are sent to all tasks; with more, documents meet items in
+    empty result.  Only the named columns are read, so others may have any name.  Items of up to broadcast_bytes are sent to all tasks; with more, documents meet items in
     a join on the seeds behind a filter of fixed size.
     """
     rows = text_rows(docs, id_col, text_col)
@@ -209,7 +209,11 @@ def _broadcast(items: DataFrame, min_match: int):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """The documents, with all their columns, that no benchmark item contaminates (see `contaminated`)."""
+    """The documents, with all their columns, that no benchmark item contaminates (see `contaminated`).
+
+    Null, empty and wordless texts stay, repeated rows stay or go together, and columns keep their names whatever
+    they are.  An empty benchmark leaves all documents.
+    """
     items = text_rows(benchmark, item_col, item_text_col).toDF("item_id", "text").where("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     if size > broadcast_bytes:

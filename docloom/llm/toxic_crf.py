@@ -293,7 +293,11 @@ def score_toxicity(docs: DataFrame, field: Field, threshold: float = 0.5, id_col
 
 
 def drop_toxic(docs: DataFrame, field: Field, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that score below the threshold."""
+    """The documents, with all their columns, that score below the threshold.
+
+    Null, empty and wordless texts have the score of a text without toxic words and stay; equal texts stay or go
+    together; an empty table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(field)
 
     def clean(batches):
@@ -320,7 +324,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0,
     """doc_id, held_out, score, predicted and spans of each document, learnt from the labels outside the fold.
 
     held_out: crc32(id as text) mod folds is fold (a null id counts as an empty text and is never learnt
-    from).  Empty tables give an empty result; without labels every score is the curve's start.
+    from).  Repeated rows have equal results; a score of just 1/2 is predicted 1.  Empty tables give an empty
+    result; without labels every score is the curve's start.  Only the named columns are read.
     """
     learn = cut(training_labels(labels, label_col, folds, fold))
     rows = text_rows(docs, id_col, text_col)
