@@ -495,6 +495,15 @@ def test_url_tables(spark):
     assert {r["verdict"] for r in filter_urls(pages, rules=(), default="block").collect()} == {"block"}
 
 
+def test_url_rules_are_the_contract(spark):
+    """The rules as the contract of op7 lists them, and the verdicts of pages under net/de/."""
+    from docloom.llm.url_globs import RULES, filter_urls
+
+    assert RULES == (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+    pages = spark.createDataFrame([(1, "http://x.net/de/8"), (2, "http://m.example.net/de/8a"), (3, "http://example.net/de/9"), (4, "http://net/fr/")], "page_id long, url string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(pages, default="block").collect()} == {1: ("net/de/", "allow"), 2: ("example.net/de/8", "block"), 3: ("net/de/", "allow"), 4: (None, "block")}
+
+
 def test_automaton_against_regular_expressions():
     import pyarrow as pa
 
